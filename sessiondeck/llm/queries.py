@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, url_filters
+from . import bpe, language_id, line_dedup, simhash, token_counts, toxicity, url_filters
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op2_bpe": bpe.query,
+    "op3_token_counts": token_counts.query,
     "op4_url_filters": url_filters.query,
+    "op6_language_id": language_id.query,
+    "op8_simhash": simhash.query,
     "op10_line_dedup": line_dedup.query,
 }
 

@@ -17,6 +17,8 @@ _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 #: Bytes of words: ASCII letters and digits, and all of non-ASCII letters.
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -36,12 +38,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
 def buffers(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and the offsets of the texts in them; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     _, offsets, data = texts.buffers()
     offs = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[offs[0] : offs[-1]], offs - offs[0]
+    raw = raw[offs[0] : offs[-1]]
+    return LOWER[raw] if lower else raw, offs - offs[0]
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
