@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, line_dedup, simhash, token_counts, toxicity, url_filters
+from . import bpe, decontaminate, language_id, line_dedup, pitman_yor, simhash, spotsigs, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_bpe": bpe.query,
     "op3_token_counts": token_counts.query,
     "op4_url_filters": url_filters.query,
+    "op5_decontamination": decontaminate.query,
     "op6_language_id": language_id.query,
+    "op7_spotsigs": spotsigs.query,
     "op8_simhash": simhash.query,
+    "op9_pitman_yor": pitman_yor.query,
     "op10_line_dedup": line_dedup.query,
 }
 
