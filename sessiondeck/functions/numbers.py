@@ -1,0 +1,22 @@
+"""Aggregates of the reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+from .text import col
+
+
+def nearest_rank(x: str | Column, p: float) -> Column:
+    """The value at position floor(n * p) of the sorted values, 0 of none. Exact: values are counted, not kept one by one."""
+    v, at = col(x), F.floor(F.count(col(x)) * F.lit(float(p)))
+    ordered = F.sort_array(F.collect_list(v))
+    return F.coalesce(F.get(ordered, F.least(F.count(v) - 1, at).cast("int")), F.lit(0).cast("bigint"))
+
+
+def mean_or_zero(x: str | Column) -> Column:
+    return F.coalesce(F.avg(col(x)), F.lit(0.0))
+
+
+def max_or_zero(x: str | Column) -> Column:
+    return F.coalesce(F.max(col(x)), F.lit(0).cast("bigint"))
