@@ -215,11 +215,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id has no leak; a null doc_id that leaks goes too."""
-    key = how.get("doc_id", "doc_id")
-    bad = leaks(docs, benchmark, **how).select(F.col(key).alias("_leaked")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("_leaked")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The rows of docs in which no item is found. Rows are judged where they are read; nothing is shuffled."""
+    spark, at, schema = docs.sparkSession, docs.columns.index(text), docs.schema
+    for _, block in blocks(benchmark, block_windows, window, text, item_id):
+        sent = spark.sparkContext.broadcast(block)
+
+        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = pa.RecordBatch.from_arrays(batch.columns, schema.names)
+                for part in vec.slices(batch, text):
+                    bad = {x[0] for x in search(sent.value, part.column(at), similarity)}
+                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(each, schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
