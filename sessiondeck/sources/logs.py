@@ -50,7 +50,7 @@ def session_events(text: str, path: str, registry: Registry, source: str | None
         yield event
 
 
-def rows_of(text: str, path: str, registry: Registry, source: str | None = None, head: str | None = None, mode: str = "failfast", admitted: bool = True) -> Iterator[dict[str, Any]]:
+def rows_of(text: str, path: str, registry: Registry, source: str | None = None, head: str | None = None, mode: str = "failfast", admitted: bool = True, first_seq: int = 0) -> Iterator[dict[str, Any]]:
     """A log's rows. admitted: none of a log that doesn't begin with its header. permissive: what comes before a fault is kept."""
     sid, seq, name = "", 0, os.path.basename(path)
     made = session_events(text, path, registry, source, head)
@@ -67,12 +67,12 @@ def rows_of(text: str, path: str, registry: Registry, source: str | None = None,
             if admitted and event["type"] != "session_start":
                 return
             sid = (event["id"] if event["type"] == "session_start" else "") or os.path.splitext(name)[0]
-        yield to_row(event | ({"path": path} if event["type"] == "session_start" else {}), sid, seq)
+        yield to_row(event | ({"path": path} if event["type"] == "session_start" else {}), sid, first_seq + seq)
         seq += 1
 
 
-def read_logs(spark: SparkSession, paths: str | Iterable[str], source: str | None = None, head: str | None = None, registry: Registry | None = None, mode: str = "failfast", admitted: bool = True) -> DataFrame:
-    """The events of all logs at the paths (files, folders or globs, as Spark reads them)."""
+def read_logs(spark: SparkSession, paths: str | Iterable[str], source: str | None = None, head: str | None = None, registry: Registry | None = None, mode: str = "failfast", admitted: bool = True, first_seq: dict[str, int] | None = None) -> DataFrame:
+    """The events of all logs at the paths (files, folders or globs, as Spark reads them). first_seq: by path, the number of a log's first event, else 0."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     registry = registry or default_registry()
@@ -88,7 +88,7 @@ def read_logs(spark: SparkSession, paths: str | Iterable[str], source: str | Non
         held: list[dict[str, Any]] = []
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for row in rows_of((content or b"").decode("utf-8", "replace"), local_name(path), registry, source, head, mode, admitted):
+                for row in rows_of((content or b"").decode("utf-8", "replace"), local_name(path), registry, source, head, mode, admitted, (first_seq or {}).get(local_name(path), 0)):
                     held.append(row)
                     if len(held) >= BATCH:
                         yield pa.RecordBatch.from_pylist(held, kind)
