@@ -1,7 +1,7 @@
 """Context of events as they arrive, and counts by time.
 
 Events of a session have to arrive in order between batches; within a batch they are sorted. A session's state is four small
-values; it is dropped after `idle` without events.
+values; if `idle` is given, it is dropped after so long without events.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ def step(state: tuple[int, int, str, int], kind: str, model: str | None) -> tupl
     return run, turn, active, segment
 
 
-def streaming_context(events: DataFrame, idle: str = "1 day") -> DataFrame:
-    """sid, seq, type, run_no, turn_no, active_model and segment of a stream of events."""
-    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+def streaming_context(events: DataFrame, idle: str | None = None) -> DataFrame:
+    """sid, seq, type, run_no, turn_no, active_model and segment of a stream of events. With `idle` the query also runs without new data, to drop old state."""
+    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def follow(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -45,15 +45,21 @@ def streaming_context(events: DataFrame, idle: str = "1 day") -> DataFrame:
             state = step(state, r.type, r.model)
             rows.append((key[0], r.seq, r.type, *state))
         held.update(state)
-        held.setTimeoutDuration(milliseconds)
+        if idle:
+            held.setTimeoutDuration(milliseconds)
         yield pd.DataFrame(rows, columns=["sid", "seq", "type", "run_no", "turn_no", "active_model", "segment"])
 
-    return events.select("sid", "seq", "type", "model").groupBy("sid").applyInPandasWithState(follow, CONTEXT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("sid", "seq", "type", "model").groupBy("sid").applyInPandasWithState(follow, CONTEXT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+
+
+def _late(events: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream's events with a watermark, which needs instants."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
 
 
 def event_windows(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes", at: str = "ts", kind: str = "event_type") -> DataFrame:
     """Events and their value in cents by window and kind; of a stream, those not later than the watermark."""
-    rows = events.withWatermark(at, late) if events.isStreaming else events
+    rows = _late(events, at, late)
     window = F.window(at, length, slide) if slide else F.window(at, length)
     counted = rows.groupBy(window.alias("w"), kind).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n", "cents")
@@ -61,7 +67,7 @@ def event_windows(events: DataFrame, length: str = "1 hour", slide: str | None =
 
 def gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", at: str = "ts", key: str = "user_id") -> DataFrame:
     """Runs of a key's events without a longer gap, for sources that don't mark their sessions."""
-    rows = events.withWatermark(at, late) if events.isStreaming else events
+    rows = _late(events, at, late)
     counted = rows.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return counted.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 

@@ -10,9 +10,9 @@ SF = "/root/testdata/sf0.001"
 
 
 def drain(stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(90)
     finally:
         q.stop()
 
