@@ -3,10 +3,10 @@
 A text of up to `chunk_chars` characters is one chunk, encoded where it is read. A longer one is cut into chunks that
 overlap by `overlap` characters, dealt over the cluster and pre-tokenised in parallel, each from its own start. Where two
 neighbours name the same pre-token boundary inside their overlap they have resynchronised: from one position the pattern
-always matches alike, so all later boundaries are equal too. The chunks are stitched at the first such boundary, and the
-pieces between stitches are encoded. Where two neighbours don't meet (a pre-token longer than the overlap), the chunks
-become one piece, up to the next boundary between a non-space and a space, which is a boundary in any reading, since no
-match of the pattern holds a non-space before a space. So nothing is cut short, and only a single huge pre-token makes a
+always matches alike, so all later boundaries are equal too. The chunks are stitched at the first such boundary (after a
+letter or digit), and the pieces between stitches are encoded. Where two neighbours don't meet (a pre-token longer than the
+overlap), the chunks become one piece, up to the next boundary between a letter or digit and a space, which is a boundary in
+any reading, since no match of the pattern holds a non-space before a space. So nothing is cut short, and only a single huge pre-token makes a
 huge piece. Decoding concatenates the tokens' raw bytes.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes; each row is encoded by itself, so repeated
@@ -84,13 +84,17 @@ def chunks(text: str, chunk_chars: int, overlap: int) -> list[tuple[int, str]]:
 
 
 def edges(start: int, piece: str, chunk_chars: int, overlap: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Pre-token boundaries of a chunk in its first and last overlap, as positions of the text, and those of them that lie between a non-space and a space. What touches the end of the chunk isn't settled and left out."""
+    """Pre-token boundaries of a chunk in its first and last overlap, as positions of the text, and those of them that are boundaries in any reading.
+
+    Only boundaries after a letter or digit count: what is matched before them depends on nothing behind them, while a run
+    of spaces is cut by what follows it. What touches the end of the chunk isn't settled and left out.
+    """
     found = [m.end() for m in pattern().finditer(piece)]
     while found and found[-1] >= len(piece) - 1:
         found.pop()
-    settled = [0, *found]
+    settled = [b for b in found if piece[b - 1].isalnum()]
     zones = [[b for b in settled if b <= overlap], [b for b in settled if b >= chunk_chars]]
-    hard = [[start + b for b in zone if b and not piece[b - 1].isspace() and piece[b].isspace()] for zone in zones]
+    hard = [[start + b for b in zone if piece[b] in " \t\r\n"] for zone in zones]
     return [start + b for b in zones[0]], [start + b for b in zones[1]], hard[0], hard[1]
 
 

@@ -7,10 +7,11 @@ Windows of `WINDOW` tokens are hashed; the benchmark's windows are the build sid
 `BLOCK_WINDOWS`, each broadcast by itself, so its size is bounded however long the benchmark is; every document's windows
 probe it. An item is found in a document if at least `SIMILARITY` of its windows are there. Then its slots are checked: where
 the windows align, equal fillers of the item must stand for equal fillers in the document, and different for different.
-If all fillers are the item's own, the find is verbatim, else re-parameterised.
+If all fillers are the item's own, the find is verbatim, else re-parameterised. Windows of the bare words, without
+placeholders, are joined in the same way, so that a copy in capitals, in which no name shows, is found too.
 
 Defined cases: an item of fewer tokens than a window is one window of all its tokens; windows of placeholders only say
-nothing and aren't used, and an item that has no others is compared with its fillers kept; an item or document that is
+nothing and aren't used, and an item that has no others is found by its bare words alone; an item or document that is
 null or without tokens is never found; equal items are all reported; a document's other columns don't matter; rows that
 repeat are reported each.
 """
@@ -39,6 +40,8 @@ class Tokens(NamedTuple):
     kind: np.ndarray
     filler: np.ndarray  # hash of the token's own text
     owner: np.ndarray
+    word: np.ndarray  # hashes of all words, none joined
+    word_owner: np.ndarray
 
 
 class Index(NamedTuple):
@@ -49,8 +52,8 @@ class Index(NamedTuple):
 
 
 class Block(NamedTuple):
-    indexes: list[tuple[bool, Index]]  # whether over fillers
-    windows: np.ndarray  # of each item
+    indexes: list[tuple[bool, Index]]  # whether over bare words
+    windows: np.ndarray  # of each item: of its template, and of its words
     slots: list[list[tuple[int, int, int]]]  # of each item: position, kind, filler
 
 
@@ -59,7 +62,7 @@ def tokens(texts: pa.Array) -> Tokens:
     starts, ends = vec.spans(data, offsets, vec.WORD)
     n = len(starts)
     if not n:
-        return Tokens(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return Tokens(*(np.zeros(0, kind) for kind in (np.uint64, np.int64, np.uint64, np.int64, np.uint64, np.int64)))
     owner = vec.owners(offsets, starts)
     follows = np.zeros(n, bool)
     follows[1:] = owner[1:] == owner[:-1]
@@ -91,7 +94,7 @@ def tokens(texts: pa.Array) -> Tokens:
     joined = np.flatnonzero(last != np.flatnonzero(keep))
     if len(joined):
         filler[joined] = vec.hashes(lowered, low_starts[keep][joined], low_ends[last[joined]])
-    return Tokens(np.where(kind == LITERAL, filler, vec.mix(_PLACE[kind])), kind, filler, owner[keep])
+    return Tokens(np.where(kind == LITERAL, filler, vec.mix(_PLACE[kind])), kind, filler, owner[keep], word, owner)
 
 
 def windows(code: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,20 +115,17 @@ def windows(code: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int) ->
 def build(texts: list[str | None], window: int = WINDOW) -> Block:
     """The index of some items."""
     t = tokens(pa.array(texts, pa.string()))
-    at = vec.bounds(t.owner, len(texts))
-    found, totals, slots = defaultdict(list), np.zeros(len(texts), np.int64), []
+    at, word_at = vec.bounds(t.owner, len(texts)), vec.bounds(t.word_owner, len(texts))
+    found, totals, slots = defaultdict(list), np.zeros((2, len(texts)), np.int64), []
     for i in range(len(texts)):
-        code, kind, filler = t.code[at[i] : at[i + 1]], t.kind[at[i] : at[i + 1]], t.filler[at[i] : at[i + 1]]
-        slots.append([(k, int(kind[k]), int(filler[k])) for k in np.flatnonzero(kind)])
-        if not len(code):
-            continue
-        size, same = min(window, len(code)), np.zeros(len(code), np.int64)
-        p, h = windows(code, kind, same, size)
-        raw = not len(p)
-        if raw:
-            p, h = windows(filler, same, same, size)
-        totals[i] = len(p)
-        found[raw, size].append((h, np.full(len(p), i), p))
+        code, kind, filler, word = t.code[at[i] : at[i + 1]], t.kind[at[i] : at[i + 1]], t.filler[at[i] : at[i + 1]], t.word[word_at[i] : word_at[i + 1]]
+        slots.append([(int(k), int(kind[k]), int(filler[k])) for k in np.flatnonzero(kind)])
+        for raw, own, kinds in ((False, code, kind), (True, word, np.zeros(len(word), np.int64))):
+            size = min(window, len(own))
+            p, h = windows(own, kinds, np.zeros(len(own), np.int64), size) if size else (np.zeros(0, np.int64),) * 2
+            totals[int(raw), i] = len(p)
+            if len(p):
+                found[raw, size].append((h, np.full(len(p), i), p))
     indexes = []
     for (raw, size), parts in sorted(found.items()):
         h, item, p = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -150,36 +150,49 @@ def consistent(slots: list[tuple[int, int, int]], shift: int, kind: np.ndarray,
 def search(block: Block, texts: pa.Array, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float, bool]]:
     """text, item, matched windows, their share and whether verbatim, of the items that are found."""
     t = tokens(texts)
-    hits = []
-    for raw, index in block.indexes:
-        p, h = windows(t.filler if raw else t.code, np.zeros(len(t.kind), np.int64) if raw else t.kind, t.owner, index.size)
-        maybe = np.zeros(1 << 20, bool)
-        maybe[index.hashes >> np.uint64(44)] = True
-        some = np.flatnonzero(maybe[h >> np.uint64(44)])
-        lo = np.searchsorted(index.hashes, h[some], "left")
-        n = np.searchsorted(index.hashes, h[some], "right") - lo
-        ends = np.cumsum(n)
-        posting = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        at = np.repeat(p[some], n)
-        hits.append(np.stack([t.owner[at], index.item[posting], index.at[posting], at]))
-    if not hits:
-        return []
-    text, item, own, at = np.concatenate(hits, axis=1)
-    order = np.lexsort((at, own, item, text))
-    text, item, own, at = text[order], item[order], own[order], at[order]
-    pair = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])) if len(text) else np.zeros(0, np.int64)
-    begin = vec.bounds(t.owner, len(texts))
-    out = []
-    for a, b in zip(pair, np.concatenate([pair[1:], [len(text)]]) if len(pair) else pair, strict=True):
-        i, n = int(item[a]), len(np.unique(own[a:b]))
-        if n < similarity * block.windows[i]:
+    begin, out = vec.bounds(t.owner, len(texts)), {}
+    for bare in (False, True):
+        hits = [_hits(t, index, bare) for raw, index in block.indexes if raw == bare]
+        if not hits:
             continue
-        lo, hi = begin[text[a]], begin[text[a] + 1]
-        shifts, votes = np.unique(at[a:b] - lo - own[a:b], return_counts=True)
-        told = [consistent(block.slots[i], int(s), t.kind[lo:hi], t.filler[lo:hi]) for s in shifts[votes == votes.max()]]
-        if any(ok for ok, _ in told):
-            out.append((int(text[a]), i, n, n / float(block.windows[i]), any(same for _, same in told)))
-    return out
+        text, item, own, at = np.concatenate(hits, axis=1)
+        order = np.lexsort((at, own, item, text))
+        text, item, own, at = text[order], item[order], own[order], at[order]
+        first = np.ones(len(text), bool)
+        first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+        pair = np.flatnonzero(first)
+        for a, b in zip(pair, np.append(pair[1:], len(text)), strict=False):
+            x, i, n = int(text[a]), int(item[a]), len(np.unique(own[a:b]))
+            share = n / block.windows[int(bare), i]
+            if share < similarity:
+                continue
+            same = bare
+            if not bare:
+                lo, hi = begin[x], begin[x + 1]
+                shifts, votes = np.unique(at[a:b] - lo - own[a:b], return_counts=True)
+                told = [consistent(block.slots[i], int(s), t.kind[lo:hi], t.filler[lo:hi]) for s in shifts[votes == votes.max()]]
+                if not any(ok for ok, _ in told):
+                    continue
+                same = any(ok and all_same for ok, all_same in told)
+            before = out.get((x, i))
+            if before is None or same and not before[4]:
+                out[x, i] = (x, i, n, float(share), same)
+    return [out[k] for k in sorted(out)]
+
+
+def _hits(t: Tokens, index: Index, bare: bool) -> np.ndarray:
+    """text, item, the item's window and the text's, for each window that both hold."""
+    owner = t.word_owner if bare else t.owner
+    p, h = windows(t.word, np.zeros(len(t.word), np.int64), owner, index.size) if bare else windows(t.code, t.kind, owner, index.size)
+    maybe = np.zeros(1 << 20, bool)
+    maybe[index.hashes >> np.uint64(44)] = True
+    some = np.flatnonzero(maybe[h >> np.uint64(44)])
+    lo = np.searchsorted(index.hashes, h[some], "left")
+    n = np.searchsorted(index.hashes, h[some], "right") - lo
+    ends = np.cumsum(n)
+    posting = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+    at = np.repeat(p[some], n)
+    return np.stack([owner[at], index.item[posting], index.at[posting], at])
 
 
 def blocks(benchmark: DataFrame, block_windows: int, window: int, text: str, item_id: str) -> Iterator[tuple[list, Block]]:
