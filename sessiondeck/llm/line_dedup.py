@@ -37,6 +37,7 @@ def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_k
         .groupBy("_ld_hash").agg(F.count("*").alias("_ld_n")).where(F.col("_ld_n") >= min_documents)
         .select("_ld_hash")
     )
+    shared = common.cut(shared)  # few rows; read from there, a line that very many documents hold can be dealt over several tasks of the join
     lines = keyed.select("_ld_id", "_ld_text", F.posexplode("_ld_hashes").alias("_ld_pos", "_ld_hash")).where(F.col("_ld_hash").isNotNull())
     gone = (
         lines.join(shared, "_ld_hash", "left_semi")
