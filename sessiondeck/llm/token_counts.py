@@ -114,7 +114,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole.cast("binary"), 256).alias("digest"))
-    counts = read_cache(docs.sparkSession, cache, version)
+    counts = common.cut(read_cache(docs.sparkSession, cache, version))  # read from there, rows of a text that many documents hold can be dealt over several tasks of the join
     return rows.join(counts, "digest", "left").select(*[F.col("row")[c].alias(c) for c in rest], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
