@@ -96,7 +96,8 @@ def fill_cache(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, text: st
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(whole.alias("text"), F.sha2(whole.cast("binary"), 256).alias("digest"))
-    misses = texts.join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    # copies go before the shuffle, so that a text that many documents hold isn't gathered in one task
+    misses = texts.dropDuplicates(["digest"]).join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
