@@ -169,6 +169,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, text: str = "te
     linked = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = nodes.join(linked.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_fp = common.cut(of_fp)  # read from there, the rows of a fingerprint that many documents have can be dealt over several tasks of the join
     return rows.join(of_fp, "fp").select(*[F.col("row")[c].alias(c) for c in rest], hex_of("fp").alias("fingerprint"), "component_id")
 
 
