@@ -25,9 +25,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays; of rows that repeat it, one."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near copies the document of the smallest doc_id stays; of rows that repeat it, one.
+
+    Rows without a doc_id go if their group has one that has; else one row of each fingerprint stays.
+    """
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn("_text", F.col("text"))
+    prints = simhash.fingerprints(nameless, "_text").withColumn("_print", simhash.hex_of("fp"))
+    alone = found.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_print")).distinct()
+    return kept.unionByName(prints.join(alone, "_print", "left_semi").dropDuplicates(["_print"]).select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
