@@ -57,6 +57,14 @@ def test_a_second_header_begins_anew(spark):
     assert [(r["run_no"], r["turn_no"], r["segment"]) for r in got] == [(1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 1, 0)]
 
 
+@pytest.mark.parametrize("block_rows", [1, 3, 7, 1000])
+def test_context_by_blocks_is_the_same(spark, logs, block_rows):
+    more = tables.user_events(spark, SF).withColumn("type", F.when(F.col("k") % 9 == 4, "session_start").otherwise(F.col("type")))
+    for df in (logs, more.select(*logs.columns)):
+        keep = ["sid", "seq", "run_no", "turn_no", "active_model", "segment"]
+        assert sorted(ctx.with_context(df, block_rows).select(keep).collect()) == sorted(ctx.with_context(df).select(keep).collect())
+
+
 def test_filters_of_a_log(logs):
     keep = lambda **c: ids(sel.filter_events(logs, sel.Criteria(**c)))
     assert keep(last_turns=1) == ["p1", "u2", "a2", "alt"]
