@@ -70,7 +70,7 @@ def decode_ids(ids: np.ndarray, ranks: str = RANKS) -> bytes:
         return b""
     lengths = at[ids + 1] - at[ids]
     ends = np.cumsum(lengths)
-    return raw[np.repeat(at[ids] - (ends - lengths), lengths) + np.arange(ends[-1])].tobytes()
+    return raw[np.repeat((at[ids] - (ends - lengths)).astype(np.int64), lengths) + np.arange(ends[-1])].tobytes()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -121,19 +121,22 @@ def pieces(parts: list[tuple[int, str]], cuts: list[int]) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, ranks: str = RANKS, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
-    """docs without `text`, with `ids` array<int>."""
+def encode(docs: DataFrame, ranks: str = RANKS, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, text: str = "text", decoded: bool = False) -> DataFrame:
+    """docs without `text`, with `ids` array<int>. decoded: and with `decoded` binary, what the ids decode to, made beside them so that they needn't be sent again."""
     if not 2 <= overlap <= chunk_chars:
         raise ValueError("overlap must be from 2 to chunk_chars")
-    rest = [c for c in docs.columns if c not in (text, "ids")]
+    rest = [c for c in docs.columns if c not in (text, "ids", *["decoded"] * decoded)]
     docs = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     row_type = docs.schema["row"].dataType.simpleString()
-    out_schema = f"row {row_type}, ids array<int>"
+    names = ["row", "ids", *["decoded"] * decoded]
+    out_schema = f"row {row_type}, ids array<int>" + ", decoded binary" * decoded
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in vec.slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([ids_of(x, ranks) for x in part.column(1).to_pylist()])], ["row", "ids"])
+                found = [ids_of(x, ranks) for x in part.column(1).to_pylist()]
+                back = [pa.array([decode_ids(x, ranks) for x in found], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(found), *back], names)
 
     short = docs.where(F.char_length("text") <= chunk_chars).mapInArrow(whole, out_schema)
 
@@ -182,11 +185,12 @@ def encode(docs: DataFrame, ranks: str = RANKS, chunk_chars: int = CHUNK_CHARS,
     encoded = dealt.select("rid", "k", "start", "piece").join(joints, ["rid", "k"]).groupBy("rid", "piece_no").applyInPandas(encode_piece, "rid long, piece_no int, part array<int>")
     gathered = encoded.groupBy("rid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "part"))), lambda x: x["part"])).alias("ids"))
     long = dealt.where(F.col("k") == 0).select("rid", "row").join(gathered, "rid").select("row", "ids")
-    return short.unionByName(long).select(*[F.col("row")[c].alias(c) for c in rest], "ids")
+    long = decode(long.withColumn("kept", F.col("ids")), ranks, "kept") if decoded else long
+    return short.unionByName(long).select(*[F.col("row")[c].alias(c) for c in rest], *names[1:])
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS, ids: str = "ids") -> DataFrame:
-    """encoded without `ids`, with `decoded` binary (replacing a column so named)."""
+    """encoded without the column of ids, with `decoded` binary (replacing a column so named)."""
     rest = [c for c in encoded.columns if c not in (ids, "decoded")]
     schema = T.StructType([*(encoded.schema[c] for c in rest), T.StructField("decoded", T.BinaryType())])
 
@@ -202,9 +206,8 @@ def decode(encoded: DataFrame, ranks: str = RANKS, ids: str = "ids") -> DataFram
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of documents."""
-    ids = encode(docs.select("doc_id", "text"))
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), "ids")
-    return decode(told).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = encode(docs.select("doc_id", "text"), decoded=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

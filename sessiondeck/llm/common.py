@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows in an Arrow batch: with whole texts a batch stays at a few MB.
-ARROW_ROWS = 2000
+#: Rows in an Arrow batch: with whole texts a batch stays at a few MB, in the JVM and in its Python workers.
+ARROW_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
