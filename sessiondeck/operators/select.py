@@ -124,6 +124,14 @@ class HeadPathError(ValueError):
     pass
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the folder in spark.checkpoint.dir; a local one only where that is unset."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sessiondeck-checkpoints")
+    return df.checkpoint()
+
+
 def head_path(entries: DataFrame, heads: DataFrame, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
     """The entries (keys, id, parent_id, seq) on the way from each head (keys, head) to its root.
 
@@ -138,16 +146,16 @@ def head_path(entries: DataFrame, heads: DataFrame, keys: tuple[str, ...] = ("si
         raise HeadPathError("head was not found")
     known = entries.select(*on)
     jump = entries.select(*on, F.col("parent_id").alias("up")).join(known.withColumnRenamed("id", "up"), [*keys, "up"], "left_semi").select(*on, "up")
-    path = path.checkpoint()
+    path = _cut(path)
     rounds = max(1, int(entries.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1).bit_length())
     for _ in range(rounds + 1):
         further = path.join(jump, on).select(*keys, F.col("up").alias("id"))
-        grown = path.unionByName(further).distinct().checkpoint()
+        grown = _cut(path.unionByName(further).distinct())
         if grown.count() == path.count():
             break
         path = grown
         over = jump.select(*keys, F.col("id").alias("up"), F.col("up").alias("further"))
-        jump = jump.join(over, [*keys, "up"]).select(*on, F.col("further").alias("up")).checkpoint()
+        jump = _cut(jump.join(over, [*keys, "up"]).select(*on, F.col("further").alias("up")))
     if path.join(jump.where(F.col("id") == F.col("up")), on, "left_semi").limit(1).count() or _loops(entries, path, keys):
         raise HeadPathError("cycle in the entries")
     return entries.join(path, on, "left_semi")

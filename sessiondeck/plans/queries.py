@@ -217,15 +217,9 @@ def conversation_previous_reply(spark, d):
 def head_ancestry(spark, d):
     entries = _ev(spark, d).select("sid", "id", "parent_id", "seq")
     heads = entries.groupBy("sid").agg(F.max_by("id", "seq").alias("head"))
-    _checkpoints(spark)
     return sel.head_path(entries, heads).select("sid", "seq", "id")
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sessiondeck-checkpoints")
-
-
 @query("prior_errors_in_turn", f"WITH {CX} SELECT sid, seq, CAST(CASE WHEN turn_no > 0 THEN coalesce(sum(CASE WHEN type = 'tool_result' AND is_error THEN 1 ELSE 0 END) OVER (PARTITION BY sid, turn_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 0 END AS BIGINT) AS prior FROM cx")
 def prior_errors_in_turn(spark, d):
     return ctx.with_prior(_cx(spark, d), agg.failed(), "prior").select("sid", "seq", "prior")

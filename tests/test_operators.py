@@ -89,7 +89,6 @@ def test_head_path(spark):
     edges = [("s", "a", None, 0), ("s", "b", "a", 1), ("s", "c", "a", 2), ("s", "d", "b", 3), ("t", "x", "gone", 0), ("t", "y", "x", 1)]
     entries = spark.createDataFrame(edges, "sid string, id string, parent_id string, seq long")
     heads = spark.createDataFrame([("s", "d"), ("t", "y")], "sid string, head string")
-    queries._checkpoints(spark)
     assert [(r["sid"], r["id"]) for r in sel.head_path(entries, heads).orderBy("sid", "seq").collect()] == [("s", "a"), ("s", "b"), ("s", "d"), ("t", "x"), ("t", "y")]
     long = spark.range(300).select(F.lit("s").alias("sid"), F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"), F.col("id").alias("seq"))
     assert sel.head_path(long, spark.createDataFrame([("s", "250")], "sid string, head string")).count() == 251
