@@ -1,20 +1,20 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Each token is served in the restaurant of its context, which is the class of the token before it: its last two bytes, in
-`CONTEXTS` classes, or the beginning of the text. All contexts' restaurants share one parent, the restaurant of all tokens,
-whose base is uniform over the training vocabulary and one place for all that isn't in it. Tables of a context's restaurant
-are customers of the parent. A Gibbs sweep takes up each dish of each restaurant in turn, empties its tables and seats its
-customers again, one by one, under the parent's current predictive probability; the numbers of customers and tables after
+Each token is served in the restaurant of its context, which is the token before it, or the beginning of the text: so there
+is a restaurant for each distinct token of the corpus. All contexts' restaurants share one parent, the restaurant of all
+tokens, whose base is uniform over the training vocabulary and one place for all that isn't in it. Tables of a context's
+restaurant are customers of the parent. A Gibbs sweep takes up each dish of each restaurant in turn, empties its tables and
+seats its customers again, under the parent's current predictive probability; the numbers of customers and tables after
 burn-in are averaged, and give the predictive probabilities that texts are scored with.
 
 The work is dealt by token: texts are read in blocks of `BLOCK_TOKENS`; a block tells each shard of the token space the
 distinct tokens and (context, token) pairs that it holds, with their training counts, and keeps its texts as numbers of
 these pairs. A shard adds up all blocks' counts, seats the customers of its tokens, and answers each block in the block's
-own order. So no vocabulary is ever in one place: a worker holds one block or one shard, and what is exchanged follows the
-corpus. The blocks are written to the shared folder, since two passes read them: the first finds the vocabulary's size and
-the totals of tables, which normalise the second's probabilities exactly. The seating of a shard is seeded by its number, so
-both passes, and a repeated task, seat alike. While a shard samples, it takes the totals of tables to be its own times the
-number of shards (tokens are dealt by hash).
+own order. The tokens of one context lie in many shards, so between two sweeps each shard tells the shard that a context
+falls in, as a token, its tables there, and is told their sum over all shards; the parent's totals are two numbers, added up
+for all. So a sweep seats under the whole corpus's totals as the sweep before it left them, and the scores are normalised
+exactly. No vocabulary is ever in one place: a worker holds one block or one shard, and what is exchanged follows the corpus.
+The seating of a shard is seeded by its number and the sweep's, so a repeated task seats alike.
 
 Tokens are known by 64-bit hashes: two tokens of V share one with odds V**2 / 2**65.
 
@@ -36,13 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from . import common, vec
 
-CONTEXTS = 32
+CONTEXTS = 0  # restaurants given beforehand: all come from the corpus
 BLOCK_TOKENS = 1 << 21
 DISCOUNT, STRENGTH = 0.75, 10.0  # of the contexts' restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 100.0
 BURN_IN, SAMPLES = 2, 3
+STATE = -1  # in place of the shard that a message comes from
 END = np.uint64(0x45D9F3B3335B369D)
-START = CONTEXTS
+START = np.uint64(0x9D39247E33776D41)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -70,16 +71,14 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = vec.buffers(texts)
     starts, ends = vec.spans(data, offsets, ~vec.SPACE)
     words, n = vec.hashes(data, starts, ends), len(texts)
-    words[words == END] ^= np.uint64(1)
-    tail = data[ends - 1].astype(np.uint32) * np.uint32(257) + np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0)
-    own = (tail * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(CONTEXTS)
+    words[(words == END) | (words == START)] ^= np.uint64(1)
     at = vec.bounds(vec.owners(offsets, starts), n)
     new_at = at + np.arange(n + 1)  # with an end for each text
     place = np.arange(len(words)) + np.repeat(np.arange(n), np.diff(at))
     out = np.full(len(words) + n, END, np.uint64)
     out[place] = words
-    context = np.full(len(out), START, np.uint8)
-    context[place + 1] = own
+    context = np.full(len(out), START, np.uint64)
+    context[place + 1] = words
     context[new_at[:-1]] = START
     return out, context, new_at
 
@@ -101,13 +100,16 @@ class Block:
         self.held.append(held)
         self.n += len(word)
 
-    def told(self, shards: int) -> tuple[list[tuple[int, bytes]], bytes, list[int]]:
-        """What each shard is asked, the texts as numbers of pairs, and the training tokens of each context."""
+    def told(self, shards: int) -> tuple[list[tuple[int, bytes]], bytes, int]:
+        """What each shard is asked, the texts as numbers of pairs, and the number of training tokens."""
         word, context, train = (np.concatenate(x) for x in (self.word, self.context, self.train))
-        vocabulary, index = np.unique(word, return_inverse=True)
-        pair, of = np.unique(index * 64 + context, return_inverse=True)
+        contexts, index = np.unique(np.append(word, START), return_inverse=True)
+        start, index = index[-1], index[:-1]
+        before = np.where(context == START, start, np.append(start, index[:-1]))
+        vocabulary, index = np.delete(contexts, start), index - (index > start)
+        pair, of = np.unique(index * len(contexts) + before, return_inverse=True)
         trained = np.bincount(of[train], minlength=len(pair)).astype(np.uint32)
-        pair_word, pair_context = pair >> 6, (pair & 63).astype(np.uint8)
+        pair_word, pair_context = pair // len(contexts), pair % len(contexts)
         cut = shard_cuts(vocabulary, shards)
         pair_cut = np.searchsorted(pair_word, cut)
         asked = []
@@ -115,10 +117,20 @@ class Block:
             a, b = cut[p], cut[p + 1]
             if a < b:
                 x, y = pair_cut[p], pair_cut[p + 1]
-                per_word = np.bincount(pair_word[x:y] - a, minlength=b - a).astype(np.uint8)
-                asked.append((p, pack(np.diff(vocabulary[a:b], prepend=np.uint64(0)), per_word, pair_context[x:y], trained[x:y])))
+                per_word = np.bincount(pair_word[x:y] - a, minlength=b - a).astype(np.uint32)
+                some, at = np.unique(pair_context[x:y], return_inverse=True)
+                asked.append((p, pack(gaps(vocabulary[a:b]), per_word, gaps(contexts[some]), at.astype(np.uint32), trained[x:y])))
         texts = pack(of.astype(np.uint32), pair_word.astype(np.uint32), np.concatenate(self.long).astype(np.uint32), np.concatenate(self.held))
-        return asked, texts, np.bincount(context[train], minlength=CONTEXTS + 1).tolist()
+        return asked, texts, int(train.sum())
+
+
+def gaps(hashes: np.ndarray) -> np.ndarray:
+    return np.diff(hashes, prepend=np.uint64(0))
+
+
+def ungap(gap: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(gap, dtype=np.uint64)
 
 
 def shard_cuts(vocabulary: np.ndarray, shards: int) -> np.ndarray:
@@ -144,40 +156,67 @@ def seat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.rando
     return tables
 
 
+def sweep(word: np.ndarray, context: np.ndarray, count: np.ndarray, tables: np.ndarray, root_tables: np.ndarray, in_tables: np.ndarray, all_root: float, all_root_tables: float, vocabulary: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of each (context, word) and of each word at the parent, seated anew. in_tables: of each context, and with the parent's totals: over the corpus."""
+    n_words = len(root_tables)
+    base = (ROOT_STRENGTH + ROOT_DISCOUNT * all_root_tables) / (vocabulary + 1)
+    probability = (np.bincount(word, tables, n_words) - ROOT_DISCOUNT * root_tables + base) / (ROOT_STRENGTH + all_root)
+    tables = seat(count, (STRENGTH + DISCOUNT * in_tables)[context] * probability[word], DISCOUNT, rng)
+    return tables, seat(np.bincount(word, tables, n_words).astype(np.int64), np.full(n_words, base), ROOT_DISCOUNT, rng)
+
+
+def begin(word: np.ndarray, count: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """One table for each dish."""
+    tables = np.minimum(count, 1).astype(np.float64)
+    return tables, np.minimum(np.bincount(word, tables, n_words), 1)
+
+
 def gibbs(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, in_context: np.ndarray, shards: int, vocabulary: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Averages after burn-in: tables of each (context, word), and customers and tables of each word at the parent."""
-    rng = np.random.default_rng(seed)
-    tables, root_tables = np.minimum(count, 1).astype(np.float64), np.minimum(np.bincount(word, np.minimum(count, 1), n_words), 1)
+    """Averages after burn-in where all is in one shard: tables of each (context, word), and customers and tables of each word at the parent."""
+    rng, (tables, root_tables) = np.random.default_rng(seed), begin(word, count, n_words)
     sums = [np.zeros(len(count)), np.zeros(n_words), np.zeros(n_words)]
-    for sweep in range(BURN_IN + SAMPLES):
-        customers = np.bincount(word, tables, n_words)
-        all_root, all_root_tables = shards * customers.sum(), shards * root_tables.sum()
-        base = (ROOT_STRENGTH + ROOT_DISCOUNT * all_root_tables) / (vocabulary + 1)
-        probability = (customers - ROOT_DISCOUNT * root_tables + base) / (ROOT_STRENGTH + all_root)
-        in_tables = shards * np.bincount(context, tables, CONTEXTS + 1)
-        tables = seat(count, (STRENGTH + DISCOUNT * in_tables)[context] * probability[word], DISCOUNT, rng)
-        customers = np.bincount(word, tables, n_words)
-        root_tables = seat(customers.astype(np.int64), np.full(n_words, base), ROOT_DISCOUNT, rng)
-        if sweep >= BURN_IN:
-            for a, b in zip(sums, (tables, customers, root_tables), strict=True):
+    for k in range(BURN_IN + SAMPLES):
+        in_tables = np.bincount(context, tables, len(in_context))
+        tables, root_tables = sweep(word, context, count, tables, root_tables, in_tables, tables.sum(), root_tables.sum(), vocabulary, rng)
+        if k >= BURN_IN:
+            for a, b in zip(sums, (tables, np.bincount(word, tables, n_words), root_tables), strict=True):
                 a += b
     return tuple(x / SAMPLES for x in sums)
 
 
-def merge(blobs: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The blocks' own lists; the shard's sorted words; and the word, context and training count of its pairs."""
+def merge(blobs: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks' own lists; the shard's sorted words and contexts; and the word, context and training count of its pairs."""
     own = []
     for blob in blobs:
-        gap, per_word, context, trained = unpack(blob)
-        with np.errstate(over="ignore"):
-            own.append((np.cumsum(gap, dtype=np.uint64), per_word, context, trained))
-    words = np.unique(np.concatenate([x[0] for x in own]))
-    key = [np.repeat(np.searchsorted(words, x[0]), x[1]) * 64 + x[2] for x in own]
+        gap, per_word, context_gap, at, trained = unpack(blob)
+        own.append((ungap(gap), per_word, ungap(context_gap), at, trained))
+    words, contexts = (np.unique(np.concatenate([x[j] for x in own])) for j in (0, 2))
+    width = max(len(contexts), 1)
+    key = [np.repeat(np.searchsorted(words, x[0]), x[1]) * width + np.searchsorted(contexts, x[2])[x[3]] for x in own]
     pairs = np.unique(np.concatenate(key))
     count = np.zeros(len(pairs), np.int64)
-    for k, x in zip(key, own, strict=True):
-        count[np.searchsorted(pairs, k)] += x[3]
-    return [(np.searchsorted(words, x[0]), np.searchsorted(pairs, k)) for x, k in zip(own, key, strict=True)], words, pairs >> 6, pairs & 63, count
+    places = [np.searchsorted(pairs, k) for k in key]
+    for k, x in zip(places, own, strict=True):
+        count[k] += x[4]
+    return [(np.searchsorted(words, x[0]), k) for x, k in zip(own, places, strict=True)], words, contexts, pairs // width, pairs % width, count
+
+
+def messages(contexts: np.ndarray, shards: int, *values: np.ndarray) -> list[tuple[int, bytes]]:
+    """A shard's values of its contexts, to the shards that these fall in."""
+    cut = shard_cuts(contexts, shards)
+    return [(q, pack(gaps(contexts[cut[q] : cut[q + 1]]), *(x[cut[q] : cut[q + 1]].astype(np.uint32) for x in values))) for q in range(shards) if cut[q] < cut[q + 1]]
+
+
+def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """To each shard: the sums over all shards of what was told of its contexts, in its own order."""
+    told = [unpack(x) for x in pdf["body"]]
+    hashes = [ungap(x[0]) for x in told]
+    contexts = np.unique(np.concatenate(hashes))
+    places, sums = [np.searchsorted(contexts, x) for x in hashes], np.zeros((len(told[0]) - 1, len(contexts)), np.int64)
+    for at, x in zip(places, told, strict=True):
+        for total, own in zip(sums, x[1:], strict=True):
+            total[at] += own
+    return pd.DataFrame({"shard": pdf["part"].to_numpy(), "part": pdf["shard"].to_numpy(), "body": [pack(*(x[at] for x in sums)) for at in places]})
 
 
 def perplexity(log10: float, n: int) -> float:
@@ -191,15 +230,15 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("held_out", held)
     id_type = docs.schema[doc_id].dataType
     arrow_id = pa.large_string() if isinstance(id_type, T.StringType) else pa.int64()
-    kinds = {"block": pa.int64(), "shard": pa.int32(), "body": pa.binary(), "ids": pa.list_(arrow_id), "in_context": pa.list_(pa.int64())}
-    schema = f"block long, shard int, body binary, ids array<{id_type.simpleString()}>, in_context array<long>"
+    kinds = {"block": pa.int64(), "shard": pa.int32(), "body": pa.binary(), "ids": pa.list_(arrow_id), "trained": pa.int64()}
+    schema = f"block long, shard int, body binary, ids array<{id_type.simpleString()}>, trained long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(), TaskContext.get().partitionId() << 32
 
         def told() -> Iterator[pa.RecordBatch]:
-            asked, texts, in_context = block.told(shards)
-            for p, body, ids, c in [*((p, body, None, None) for p, body in asked), (-1, texts, block.ids, in_context)]:
+            asked, texts, trained = block.told(shards)
+            for p, body, ids, c in [*((p, body, None, None) for p, body in asked), (-1, texts, block.ids, trained)]:
                 yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((number, p, body, ids, c), kinds.values(), strict=True)], list(kinds))
 
         for batch in batches:
@@ -213,45 +252,80 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
 
     blocks = common.cut(rows.mapInArrow(read, schema))
     texts = blocks.where("shard < 0")
-    in_context = np.zeros(CONTEXTS + 1, np.int64)
-    for r in texts.select(F.posexplode("in_context")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # a row for each context
-        in_context[r["pos"]] = r["n"]
-    total = int(in_context.sum())
-    asked = blocks.where("shard >= 0").select("shard", "block", "body")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        _, words, word, _, n = merge(pdf["body"].tolist())
-        return pd.DataFrame({"v": [int((np.bincount(word, n, len(words)) > 0).sum())]})
-
-    vocabulary = int(asked.groupBy("shard").applyInPandas(count, "v long").agg(F.sum("v")).first()[0] or 0)
-
-    def seated(pdf: pd.DataFrame) -> tuple:
-        own, words, word, context, n = merge(pdf["body"].tolist())
-        return own, word, context, n, np.bincount(word, n, len(words)), gibbs(word, context, n, len(words), in_context, shards, vocabulary, int(pdf["shard"].iloc[0]))
-
-    def total_tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, context, _, _, (tables, customers, root_tables) = seated(pdf.sort_values("block"))
-        return pd.DataFrame({"t": [[*np.bincount(context, tables, CONTEXTS + 1), customers.sum(), root_tables.sum()]]})
-
-    sums = asked.groupBy("shard").applyInPandas(total_tables, "t array<double>").select(F.posexplode("t")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
-    tables_all = np.zeros(CONTEXTS + 3)
-    for r in sums:
-        tables_all[r["pos"]] = r["n"]
-    in_tables, all_root, all_root_tables = tables_all[: CONTEXTS + 1], tables_all[-2], tables_all[-1]
+    total = int(texts.agg(F.sum("trained")).first()[0] or 0)
+    asked = blocks.where("shard >= 0").select("shard", F.lit(STATE + 1).alias("part"), "body", "block")
+    step_schema = "shard int, part int, body binary, words double, customers double, root_tables double"
+
+    def stepped(shard: int, state: tuple, contexts: np.ndarray, n_trained: int, *values: np.ndarray) -> pd.DataFrame:
+        """A shard's state, what it tells of its contexts, and its part of the parent's totals."""
+        rows = [(shard, STATE, pack(*state), float(n_trained), float(state[1].sum()), float(state[2].sum()))]
+        return pd.DataFrame(rows + [(q, shard, body, 0.0, 0.0, 0.0) for q, body in messages(contexts, shards, *values)], columns=["shard", "part", "body", "words", "customers", "root_tables"])
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, words, contexts, word, context, n = merge(pdf.sort_values("block")["body"].tolist())
+        tables, root_tables = begin(word, n, len(words))
+        per_word, here = np.bincount(word, minlength=len(words)), lambda x: np.bincount(context, x, len(contexts))
+        state = gaps(contexts), tables.astype(np.uint32), root_tables.astype(np.uint32), per_word.astype(np.uint32), context.astype(np.uint32), n.astype(np.uint32)
+        return stepped(int(pdf["shard"].iloc[0]), state, contexts, int((np.bincount(word, n, len(words)) > 0).sum()), here(tables), here(n))
+
+    def told(pdf: pd.DataFrame, k: int) -> tuple:
+        """A shard's state before sweep k, with the sums of its contexts in the sums' place."""
+        pdf = pdf.sort_values("part")
+        state = unpack(pdf["body"].iloc[0])
+        replies = [unpack(x) for x in pdf["body"].iloc[1:]]
+        in_tables = np.concatenate([x[0] for x in replies])
+        if k == 0:
+            extra = [np.concatenate([x[1] for x in replies]), *(np.zeros(len(x), np.uint32) for x in state[:3])]
+        else:
+            extra = state[6:]
+        if k > BURN_IN:
+            extra[1] = extra[1] + in_tables
+        return state[:6], in_tables, extra
+
+    def step(pdf: pd.DataFrame, k: int, all_root: float, all_root_tables: float) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        (gap, tables, root_tables, per_word, context, n), in_tables, (in_context, *sums) = told(pdf, k)
+        word = np.repeat(np.arange(len(per_word)), per_word)
+        tables, root_tables = sweep(word, context, n, tables, root_tables, in_tables, all_root, all_root_tables, vocabulary, np.random.default_rng([shard, k]))
+        if k >= BURN_IN:
+            sums[1:] = sums[1] + tables, sums[2] + root_tables
+        contexts = ungap(gap)
+        state = gap, tables.astype(np.uint32), root_tables.astype(np.uint32), per_word, context, n, in_context, *(np.asarray(x).astype(np.int64) for x in sums)
+        return stepped(shard, state, contexts, 0, np.bincount(context, tables, len(contexts)))
+
+    def exchanged(out: DataFrame) -> tuple[DataFrame, tuple[float, float, float]]:
+        """The states and the answers to them, and the totals over all shards."""
+        out = common.cut(out)
+        spark._jvm.System.gc()  # what earlier sweeps have left on disk goes
+        totals = out.where(F.col("part") == STATE).agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in ("words", "customers", "root_tables")]).first()
+        out = out.select("shard", "part", "body")
+        replies = out.where(F.col("part") != STATE).groupBy("shard").applyInPandas(add_up, "shard int, part int, body binary")
+        return out.where(F.col("part") == STATE).unionByName(replies), tuple(totals)
+
+    states, (vocabulary, *totals) = exchanged(asked.groupBy("shard").applyInPandas(gather, step_schema))
+    all_root = all_root_tables = 0.0
+    for k in range(BURN_IN + SAMPLES):
+        args = (k, *totals)
+        states, (_, *totals) = exchanged(states.groupBy("shard").applyInPandas(lambda pdf: step(pdf, *args), step_schema))
+        if k >= BURN_IN:
+            all_root, all_root_tables = all_root + totals[0] / SAMPLES, all_root_tables + totals[1] / SAMPLES
     root_new = (ROOT_STRENGTH + ROOT_DISCOUNT * all_root_tables) / (ROOT_STRENGTH + all_root) / (vocabulary + 1)
-    new_table = (STRENGTH + DISCOUNT * in_tables) / (STRENGTH + in_context)
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         """To each block: its words' training counts and its pairs' log10 probabilities."""
-        pdf = pdf.sort_values("block")
-        own, word, context, n, of_word, (tables, customers, root_tables) = seated(pdf)
-        root = np.maximum(customers - ROOT_DISCOUNT * root_tables, 0) / (ROOT_STRENGTH + all_root) + root_new
-        p = np.maximum(n - DISCOUNT * tables, 0) / (STRENGTH + in_context[context]) + new_table[context] * root[word]
-        log10 = np.log10(p).astype(np.float32)
-        told = [pack(of_word[w].astype(np.uint32), log10[k]) for w, k in own]
-        return pd.DataFrame({"block": pdf["block"].to_numpy(), "shard": pdf["shard"].to_numpy(), "body": told})
-
+        mine = pdf["block"].isna()
+        (*_, context, n), _, (in_context, in_tables, tables, root_tables) = told(pdf[mine], BURN_IN + SAMPLES)
+        pdf = pdf[~mine].sort_values("block")
+        own, words, _, word, *_ = merge(pdf["body"].tolist())
+        customers = np.bincount(word, tables, len(words)) / SAMPLES
+        root = np.maximum(customers - ROOT_DISCOUNT * root_tables / SAMPLES, 0) / (ROOT_STRENGTH + all_root) + root_new
+        new_table = (STRENGTH + DISCOUNT * in_tables / SAMPLES) / (STRENGTH + in_context)
+        p = np.maximum(n - DISCOUNT * tables / SAMPLES, 0) / (STRENGTH + in_context[context]) + new_table[context] * root[word]
+        log10, of_word = np.log10(p).astype(np.float32), np.bincount(word, n, len(words))
+        told_back = [pack(of_word[w].astype(np.uint32), log10[k]) for w, k in own]
+        return pd.DataFrame({"block": pdf["block"].to_numpy().astype(np.int64), "shard": pdf["shard"].to_numpy(), "body": told_back})
+
+    asked = asked.unionByName(states.withColumn("block", F.lit(None).cast("long")))
     answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard int, body binary")
     out_schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 

@@ -542,6 +542,38 @@ def test_gibbs_keeps_its_counts():
         assert p.sum() + new * base == pytest.approx(1)
 
 
+def test_word_sequences_of_training_are_told(spark):
+    """The same words in two orders: the preceding words differ, their last two bytes don't."""
+    rng = random.Random(9)
+    first, second = [f"a{i}xx" for i in range(40)], [f"b{i}yy" for i in range(40)]
+    learned = [" ".join(f"{x} {y}" for x, y in rng.sample(list(zip(first, second)), 20)) for _ in range(60)]
+    known = " ".join(f"{x} {y}" for x, y in zip(first, second))
+    mixed = " ".join(f"{x} {y}" for x, y in zip(first, second[7:] + second[:7]))
+    docs = docs_of(spark, [*learned, known, mixed])
+    for shards, block in ((1, 1 << 21), (7, 200)):
+        got = {r["doc_id"]: r for r in pitman_yor.score(docs, F.col("doc_id") >= len(learned), block_tokens=block, shards=shards).collect()}
+        known_row, mixed_row = got[len(learned)], got[len(learned) + 1]
+        assert known_row["base_score"] == pytest.approx(mixed_row["base_score"])
+        assert known_row["score"] > mixed_row["score"] + 20
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_word_contexts_sum_to_one(spark, shards):
+    """From scores of texts of up to two words, over the vocabulary and an unseen word: what follows the beginning sums to 1.
+
+    With p[w] = P(w | start), s(wx) / s(x) = P(x | w) p[w] / p[x], and each context w sums to 1: a linear system for p.
+    """
+    learned = ["a b", "a c", "b", "c a b a", "d d d", "a b a b a c"]
+    words = ["a", "b", "c", "d", "unseen"]
+    docs = docs_of(spark, [*learned, "", *words, *(f"{w} {x}" for w in words for x in words)])
+    got = {r["doc_id"] - len(learned): 10 ** r["score"] for r in pitman_yor.score(docs, F.col("doc_id") >= len(learned), shards=shards).collect()}
+    n = len(words)
+    one = np.array([got[1 + i] for i in range(n)])
+    two = np.array([[got[1 + n + i * n + j] for j in range(n)] for i in range(n)])
+    p = np.linalg.solve(np.eye(n) - two / one, one)
+    assert (p > 0).all() and p.sum() + got[0] == pytest.approx(1, abs=1e-4)
+
+
 def test_pack_round_trip():
     arrays = [np.arange(5, dtype=np.uint64) << 40, np.zeros(0, np.uint8), np.array([1.5, -2], np.float32), np.array([True, False])]
     for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True):
