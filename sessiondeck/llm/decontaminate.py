@@ -1,8 +1,11 @@
 """Benchmark decontamination by question templates.
 
 Texts become tokens (runs of letters and digits, lower-cased), in which numbers, units and names are typed placeholders:
-a number starts with a digit (groups joined by a point, comma or colon are one); a unit is one of UNITS right after a
-number; a name is a capitalised word, not all capitals, that follows a word in the same clause (a run of them is one).
+a number starts with a digit (groups joined by a point, comma or colon are one) or is one of NUMBERS (a run of these, or
+after digits, is one); a unit is one of UNITS right after a number; a name is a capitalised word, not all capitals, of any
+script that has capitals (a run of them is one). There are two templates: in the first a name must follow a word in the same
+clause, so that the words that begin sentences stay literal; in the second it may stand anywhere, so that names that begin
+a sentence, a line or a quote are slots too, and so are all other words there.
 Windows of `WINDOW` tokens are hashed; the benchmark's windows are the build side of a hash join, in blocks of
 `BLOCK_WINDOWS`, each broadcast by itself, so its size is bounded however long the benchmark is; every document's windows
 probe it. An item is found in a document if at least `SIMILARITY` of its windows are there. Then its slots are checked: where
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -31,17 +35,17 @@ from . import common, vec
 WINDOW, SIMILARITY = 5, 0.8
 BLOCK_WINDOWS = 1 << 20
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs pound pounds ounce ounces oz ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros usd eur gbp meter meters metre metres gram grams kilogram kilograms kilometer kilometers centimeter centimeters degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules newton newtons hz".split()
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 LITERAL, NUMBER, UNIT, NAME = range(4)
+TEMPLATE, ANYWHERE, BARE = range(3)  # forms of a text
 _PLACE = np.array([0, 0x51, 0x52, 0x53], np.uint64)
 
 
-class Tokens(NamedTuple):
+class Form(NamedTuple):
     code: np.ndarray  # hash of a literal, or of its placeholder
     kind: np.ndarray
     filler: np.ndarray  # hash of the token's own text
     owner: np.ndarray
-    word: np.ndarray  # hashes of all words, none joined
-    word_owner: np.ndarray
 
 
 class Index(NamedTuple):
@@ -52,49 +56,70 @@ class Index(NamedTuple):
 
 
 class Block(NamedTuple):
-    indexes: list[tuple[bool, Index]]  # whether over bare words
-    windows: np.ndarray  # of each item: of its template, and of its words
-    slots: list[list[tuple[int, int, int]]]  # of each item: position, kind, filler
+    indexes: list[tuple[int, Index]]  # by form
+    windows: np.ndarray  # by form, of each item
+    slots: list[list[list[tuple[int, int, int]]]]  # by form, of each item: position, kind, filler
 
 
-def tokens(texts: pa.Array) -> Tokens:
+@lru_cache(maxsize=1)
+def _cases() -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a capital, and whether it is a small letter."""
+    return tuple(np.fromiter((f(chr(i)) for i in range(0x110000)), bool, 0x110000) for f in (lambda x: x.isupper() or x.istitle(), str.islower))
+
+
+def points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points that begin at these bytes, and where the next ones do; beyond the end, NUL."""
+    get = lambda k: np.where(at + k < len(data), data[np.minimum(at + k, len(data) - 1)], 0).astype(np.int64)
+    a, b, c, d = (get(k) for k in range(4))
+    long = 1 + (a >= 0xC0) + (a >= 0xE0) + (a >= 0xF0)
+    b, c, d = b & 63, c & 63, d & 63
+    point = np.select([long == 1, long == 2, long == 3], [a, (a & 31) << 6 | b, (a & 15) << 12 | b << 6 | c], (a & 7) << 18 | b << 12 | c << 6 | d)
+    return np.minimum(point, 0x10FFFF), at + long
+
+
+def tokens(texts: pa.Array) -> list[Form]:
+    """The texts' two templates, and their bare words."""
     data, offsets = vec.buffers(texts, lower=False)
     starts, ends = vec.spans(data, offsets, vec.WORD)
     n = len(starts)
     if not n:
-        return Tokens(*(np.zeros(0, kind) for kind in (np.uint64, np.int64, np.uint64, np.int64, np.uint64, np.int64)))
+        return [Form(*(np.zeros(0, kind) for kind in (np.uint64, np.int64, np.uint64, np.int64)))] * 3
     owner = vec.owners(offsets, starts)
     follows = np.zeros(n, bool)
     follows[1:] = owner[1:] == owner[:-1]
     gap = np.zeros(n, np.int64)
     gap[1:] = starts[1:] - ends[:-1]
+    after = lambda x: np.concatenate([[False], x[:-1]])  # noqa: E731  whether the token before is so
     first, before = data[starts], data[np.maximum(starts - 1, 0)]
     digit = (first >= 0x30) & (first <= 0x39)
-    digits_before = np.concatenate([[False], (data[ends - 1] >= 0x30) & (data[ends - 1] <= 0x39)])[:-1] & np.concatenate([[False], digit[:-1]])
-    glued = follows & digit & digits_before & (gap == 1) & np.isin(before, [0x2C, 0x2E, 0x3A])
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    long = ends - starts
-    upper = ((first >= 0x41) & (first <= 0x5A)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    next_at = np.minimum(starts + np.where(first == 0xC3, 2, 1), len(data) - 1)
-    small = ((data[next_at] >= 0x61) & (data[next_at] <= 0x7A)) | ((data[next_at] == 0xC3) & (data[np.minimum(next_at + 1, len(data) - 1)] >= 0x9F))
+    glued = follows & digit & after((data[ends - 1] >= 0x30) & (data[ends - 1] <= 0x39)) & after(digit) & (gap == 1) & np.isin(before, [0x2C, 0x2E, 0x3A])
+    capital, small = _cases()
+    point, next_at = points(data, starts)
+    named = capital[point] & (next_at < ends) & small[points(data, next_at)[0]]
     plain_gap = follows & (gap >= 1) & (gap <= 2) & (before == 0x20) & ((gap == 1) | (data[np.maximum(starts - 2, 0)] == 0x2C))
-    name = upper & small & plain_gap & (long > 1)
     lowered, low_offsets = vec.buffers(pa.array([(x or "").lower() for x in texts.to_pylist()], pa.large_string()), lower=False)
     low_starts, low_ends = vec.spans(lowered, low_offsets, vec.WORD)
     if len(low_starts) != n:  # lower-casing has made or unmade a word; none is known to
         lowered, low_starts, low_ends = vec.LOWER[data], starts, ends
     word = vec.hashes(lowered, low_starts, low_ends)
-    unit = follows & np.isin(word, vec.hash_of(UNITS)) & np.concatenate([[False], digit[:-1]]) & ~digit & (gap <= 1)
-    name &= ~unit
-    run = name & follows & np.concatenate([[False], name[:-1]]) & (gap == 1)
-    keep = ~(glued | run)
-    kind = np.where(digit, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))[keep]
-    last = np.concatenate([np.flatnonzero(keep)[1:], [n]]) - 1  # a filler runs to the end of what was joined to it
-    filler = np.where(last == np.flatnonzero(keep), word[keep], 0).astype(np.uint64)
-    joined = np.flatnonzero(last != np.flatnonzero(keep))
-    if len(joined):
-        filler[joined] = vec.hashes(lowered, low_starts[keep][joined], low_ends[last[joined]])
-    return Tokens(np.where(kind == LITERAL, filler, vec.mix(_PLACE[kind])), kind, filler, owner[keep], word, owner)
+    spelt = np.isin(word, vec.hash_of(NUMBERS))
+    number = digit | spelt
+    glued |= follows & spelt & after(number) & (gap == 1) & np.isin(before, [0x20, 0x2D])
+    unit = follows & np.isin(word, vec.hash_of(UNITS)) & after(number) & ~number & (gap <= 1)
+    named &= ~unit & ~number
+
+    def form(name: np.ndarray) -> Form:
+        run = name & follows & after(name) & (gap == 1) & (before == 0x20)
+        keep = ~(glued | run)
+        kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))[keep]
+        last = np.concatenate([np.flatnonzero(keep)[1:], [n]]) - 1  # a filler runs to the end of what was joined to it
+        filler = np.where(last == np.flatnonzero(keep), word[keep], 0).astype(np.uint64)
+        joined = np.flatnonzero(last != np.flatnonzero(keep))
+        if len(joined):
+            filler[joined] = vec.hashes(lowered, low_starts[keep][joined], low_ends[last[joined]])
+        return Form(np.where(kind == LITERAL, filler, vec.mix(_PLACE[kind])), kind, filler, owner[keep])
+
+    return [form(named & plain_gap), form(named), Form(word, np.zeros(n, np.int64), word, owner)]
 
 
 def windows(code: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,23 +139,22 @@ def windows(code: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int) ->
 
 def build(texts: list[str | None], window: int = WINDOW) -> Block:
     """The index of some items."""
-    t = tokens(pa.array(texts, pa.string()))
-    at, word_at = vec.bounds(t.owner, len(texts)), vec.bounds(t.word_owner, len(texts))
-    found, totals, slots = defaultdict(list), np.zeros((2, len(texts)), np.int64), []
-    for i in range(len(texts)):
-        code, kind, filler, word = t.code[at[i] : at[i + 1]], t.kind[at[i] : at[i + 1]], t.filler[at[i] : at[i + 1]], t.word[word_at[i] : word_at[i + 1]]
-        slots.append([(int(k), int(kind[k]), int(filler[k])) for k in np.flatnonzero(kind)])
-        for raw, own, kinds in ((False, code, kind), (True, word, np.zeros(len(word), np.int64))):
-            size = min(window, len(own))
-            p, h = windows(own, kinds, np.zeros(len(own), np.int64), size) if size else (np.zeros(0, np.int64),) * 2
-            totals[int(raw), i] = len(p)
+    found, totals, slots = defaultdict(list), np.zeros((3, len(texts)), np.int64), [[], [], []]
+    for f, t in enumerate(tokens(pa.array(texts, pa.string()))):
+        at = vec.bounds(t.owner, len(texts))
+        for i in range(len(texts)):
+            code, kind, filler = (x[at[i] : at[i + 1]] for x in t[:3])
+            slots[f].append([(int(k), int(kind[k]), int(filler[k])) for k in np.flatnonzero(kind)])
+            size = min(window, len(code))
+            p, h = windows(code, kind, np.zeros(len(code), np.int64), size) if size else (np.zeros(0, np.int64),) * 2
+            totals[f, i] = len(p)
             if len(p):
-                found[raw, size].append((h, np.full(len(p), i), p))
+                found[f, size].append((h, np.full(len(p), i), p))
     indexes = []
-    for (raw, size), parts in sorted(found.items()):
+    for (f, size), parts in sorted(found.items()):
         h, item, p = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        indexes.append((raw, Index(size, h[order], item[order].astype(np.int32), p[order].astype(np.int32))))
+        indexes.append((f, Index(size, h[order], item[order].astype(np.int32), p[order].astype(np.int32))))
     return Block(indexes, totals, slots)
 
 
@@ -149,12 +173,12 @@ def consistent(slots: list[tuple[int, int, int]], shift: int, kind: np.ndarray,
 
 def search(block: Block, texts: pa.Array, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float, bool]]:
     """text, item, matched windows, their share and whether verbatim, of the items that are found."""
-    t = tokens(texts)
-    begin, out = vec.bounds(t.owner, len(texts)), {}
-    for bare in (False, True):
-        hits = [_hits(t, index, bare) for raw, index in block.indexes if raw == bare]
+    out = {}
+    for f, t in enumerate(tokens(texts)):
+        hits = [_hits(t, index) for g, index in block.indexes if g == f]
         if not hits:
             continue
+        begin = vec.bounds(t.owner, len(texts))
         text, item, own, at = np.concatenate(hits, axis=1)
         order = np.lexsort((at, own, item, text))
         text, item, own, at = text[order], item[order], own[order], at[order]
@@ -163,14 +187,14 @@ def search(block: Block, texts: pa.Array, similarity: float = SIMILARITY) -> lis
         pair = np.flatnonzero(first)
         for a, b in zip(pair, np.append(pair[1:], len(text)), strict=False):
             x, i, n = int(text[a]), int(item[a]), len(np.unique(own[a:b]))
-            share = n / block.windows[int(bare), i]
+            share = n / block.windows[f, i]
             if share < similarity:
                 continue
-            same = bare
-            if not bare:
+            same = f == BARE
+            if not same:
                 lo, hi = begin[x], begin[x + 1]
                 shifts, votes = np.unique(at[a:b] - lo - own[a:b], return_counts=True)
-                told = [consistent(block.slots[i], int(s), t.kind[lo:hi], t.filler[lo:hi]) for s in shifts[votes == votes.max()]]
+                told = [consistent(block.slots[f][i], int(s), t.kind[lo:hi], t.filler[lo:hi]) for s in shifts[votes == votes.max()]]
                 if not any(ok for ok, _ in told):
                     continue
                 same = any(ok and all_same for ok, all_same in told)
@@ -180,10 +204,9 @@ def search(block: Block, texts: pa.Array, similarity: float = SIMILARITY) -> lis
     return [out[k] for k in sorted(out)]
 
 
-def _hits(t: Tokens, index: Index, bare: bool) -> np.ndarray:
+def _hits(t: Form, index: Index) -> np.ndarray:
     """text, item, the item's window and the text's, for each window that both hold."""
-    owner = t.word_owner if bare else t.owner
-    p, h = windows(t.word, np.zeros(len(t.word), np.int64), owner, index.size) if bare else windows(t.code, t.kind, owner, index.size)
+    p, h = windows(t.code, t.kind, t.owner, index.size)
     maybe = np.zeros(1 << 20, bool)
     maybe[index.hashes >> np.uint64(44)] = True
     some = np.flatnonzero(maybe[h >> np.uint64(44)])
@@ -192,7 +215,7 @@ def _hits(t: Tokens, index: Index, bare: bool) -> np.ndarray:
     ends = np.cumsum(n)
     posting = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
     at = np.repeat(p[some], n)
-    return np.stack([owner[at], index.item[posting], index.at[posting], at])
+    return np.stack([t.owner[at], index.item[posting], index.at[posting], at])
 
 
 def blocks(benchmark: DataFrame, block_windows: int, window: int, text: str, item_id: str) -> Iterator[tuple[list, Block]]:

@@ -281,6 +281,24 @@ def test_reparameterised_questions_are_found(spark):
     assert {i: got[i] for i in range(len(cases))} == {i: want[k] for i, (k, _) in enumerate(cases)}
 
 
+def test_names_that_begin_sentences_are_slots(spark):
+    items = [
+        "Tom has 3 red apples. Anna has 5 green pears. How many pieces of fruit do Tom and Anna have together?",
+        "three trains leave the old station and each of the trains carries twenty-five red boxes to the port",
+        "На станции Борис купил 3 билета до города, а потом Борис отдал Ольге 2 билета и пошёл домой пешком",
+    ]
+    cases = [
+        "Max has 7 red apples. Lena has 9 green pears. How many pieces of fruit do Max and Lena have together?",
+        "7 trains leave the old station and each of the trains carries one hundred red boxes to the port",
+        "На станции Иван купил 8 билета до города, а потом Иван отдал Марии 4 билета и пошёл домой пешком",
+        "Max has 7 red apples. Lena has 9 green pears. How many pieces of fruit do Paul and Nina have together?",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.leaks(docs_of(spark, cases), bench).collect()}
+    assert got == {(i, i, "reparameterised") for i in range(3)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs_of(spark, cases), bench).collect()] == [3]
+
+
 def brute_leaks(docs, items):
     """By words: the share of an item's windows of five that a text holds."""
     import re
