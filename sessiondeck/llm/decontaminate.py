@@ -8,10 +8,12 @@ clause, so that the words that begin sentences stay literal; in the second it ma
 a sentence, a line or a quote are slots too, and so are all other words there.
 Windows of `WINDOW` tokens are hashed; the benchmark's windows are the build side of a hash join, in blocks of
 `BLOCK_WINDOWS`, each broadcast by itself, so its size is bounded however long the benchmark is; every document's windows
-probe it. An item is found in a document if at least `SIMILARITY` of its windows are there. Then its slots are checked: where
-the windows align, equal fillers of the item must stand for equal fillers in the document, and different for different.
-If all fillers are the item's own, the find is verbatim, else re-parameterised. Windows of the bare words, without
-placeholders, are joined in the same way, so that a copy in capitals, in which no name shows, is found too.
+probe it. An item is found in a document if at least `SIMILARITY` of its windows are there. Then its slots are checked
+where the windows align. Names that were changed must agree: equal names stand for equal names and different for different,
+in `SIMILARITY` of their slots at least, else the find is dropped. Numbers and units are values, which may coincide or vary.
+The find is `verbatim` if all fillers are the item's own; `reparameterised` if equal fillers always stand for equal ones; and
+`altered` if some do not, as in a copy with one number mistyped. Windows of the bare words, without placeholders, are joined
+in the same way, so that a copy in capitals, in which no name shows, is found too (`verbatim`).
 
 Defined cases: an item of fewer tokens than a window is one window of all its tokens; windows of placeholders only say
 nothing and aren't used, and an item that has no others is found by its bare words alone; an item or document that is
@@ -21,7 +23,7 @@ repeat are reported each.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -38,6 +40,7 @@ UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 LITERAL, NUMBER, UNIT, NAME = range(4)
 TEMPLATE, ANYWHERE, BARE = range(3)  # forms of a text
+KINDS = "verbatim", "reparameterised", "altered"
 _PLACE = np.array([0, 0x51, 0x52, 0x53], np.uint64)
 
 
@@ -158,21 +161,26 @@ def build(texts: list[str | None], window: int = WINDOW) -> Block:
     return Block(indexes, totals, slots)
 
 
-def consistent(slots: list[tuple[int, int, int]], shift: int, kind: np.ndarray, filler: np.ndarray) -> tuple[bool, bool]:
-    """Whether the fillers map one to one, and whether all are the same. kind, filler: of the document; shift: its position less the item's."""
-    there, back, same = {}, {}, True
-    for k, what, own in slots:
-        if not 0 <= k + shift < len(kind) or kind[k + shift] != what:
-            continue
-        other = int(filler[k + shift])
-        if there.setdefault((what, own), other) != other or back.setdefault((what, other), own) != own:
-            return False, False
-        same &= other == own
-    return True, same
-
-
-def search(block: Block, texts: pa.Array, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float, bool]]:
-    """text, item, matched windows, their share and whether verbatim, of the items that are found."""
+def judge(slots: list[tuple[int, int, int]], shift: int, kind: np.ndarray, filler: np.ndarray, similarity: float) -> int | None:
+    """The place in KINDS of a find, or None if its names don't agree. kind, filler: of the document; shift: its position less the item's."""
+    aligned = [(what, own, int(filler[k + shift])) for k, what, own in slots if 0 <= k + shift < len(kind) and kind[k + shift] == what]
+    there, back = defaultdict(Counter), defaultdict(Counter)
+    for what, own, other in aligned:
+        there[what, own][other] += 1
+        back[what, other][own] += 1
+    if all(own == other for _, own, other in aligned):
+        return 0
+    most = lambda counts: max(counts, key=lambda x: (counts[x], x))
+    usual, origin = {k: most(c) for k, c in there.items()}, {k: most(c) for k, c in back.items()}
+    names = [(own, other) for what, own, other in aligned if what == NAME and there[what, own].keys() != {own}]
+    agree = sum(usual[NAME, own] == other and origin[NAME, other] == own for own, other in names)
+    if agree < similarity * len(names):
+        return None
+    return 1 if agree == len(names) and all(len(c) == 1 for c in there.values()) else 2
+
+
+def search(block: Block, texts: pa.Array, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float, int]]:
+    """text, item, matched windows, their share and the place in KINDS, of the items that are found."""
     out = {}
     for f, t in enumerate(tokens(texts)):
         hits = [_hits(t, index) for g, index in block.indexes if g == f]
@@ -190,17 +198,17 @@ def search(block: Block, texts: pa.Array, similarity: float = SIMILARITY) -> lis
             share = n / block.windows[f, i]
             if share < similarity:
                 continue
-            same = f == BARE
-            if not same:
+            found = 0
+            if f != BARE:
                 lo, hi = begin[x], begin[x + 1]
                 shifts, votes = np.unique(at[a:b] - lo - own[a:b], return_counts=True)
-                told = [consistent(block.slots[f][i], int(s), t.kind[lo:hi], t.filler[lo:hi]) for s in shifts[votes == votes.max()]]
-                if not any(ok for ok, _ in told):
+                told = [judge(block.slots[f][i], int(s), t.kind[lo:hi], t.filler[lo:hi], similarity) for s in shifts[votes == votes.max()]]
+                told = [k for k in told if k is not None]
+                if not told:
                     continue
-                same = any(ok and all_same for ok, all_same in told)
-            before = out.get((x, i))
-            if before is None or same and not before[4]:
-                out[x, i] = (x, i, n, float(share), same)
+                found = min(told)
+            if (x, i) not in out or found < out[x, i][4]:
+                out[x, i] = (x, i, n, float(share), found)
     return [out[k] for k in sorted(out)]
 
 
@@ -230,7 +238,7 @@ def blocks(benchmark: DataFrame, block_windows: int, window: int, text: str, ite
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """doc_id, item_id, n_matched, similarity and kind (`verbatim` or `reparameterised`) for each item found in a document."""
+    """doc_id, item_id, n_matched, similarity and kind (of `KINDS`) for each item found in a document."""
     schema = T.StructType([docs.schema[doc_id], benchmark.schema[item_id], *T.StructType.fromDDL("n_matched long, similarity double, kind string").fields])
     rows, out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
     spark = docs.sparkSession
@@ -243,8 +251,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                 for part in vec.slices(batch):
                     found = search(block, part.column("text"), similarity)
                     if found:
-                        i, k, n, share, same = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(i)), pa.array([ids[x] for x in k]), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(["verbatim" if x else "reparameterised" for x in same])], schema.names)
+                        i, k, n, share, kinds = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(i)), pa.array([ids[x] for x in k]), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array([KINDS[x] for x in kinds])], schema.names)
 
         part = rows.mapInArrow(each, schema)
         out = part if out is None else out.unionByName(part)

@@ -299,6 +299,21 @@ def test_names_that_begin_sentences_are_slots(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs_of(spark, cases), bench).collect()] == [3]
 
 
+def test_numbers_may_coincide_and_vary(spark):
+    item = "in the old shop a boy buys 3 apples and 5 pears and a girl at the door gets 3 apples from the boy for 2 euros"
+    names = "we know Tom is here, and Tom has it, and Tom got it, when Tom ran off, so Tom met Anna"
+    cases = [
+        ("reparameterised", 0, "in the old shop a boy buys 4 apples and 4 pears and a girl at the door gets 4 apples from the boy for 4 dollars"),
+        ("altered", 0, "in the old shop a boy buys 3 apples and 5 pears and a girl at the door gets 8 apples from the boy for 2 euros"),
+        ("altered", 1, "we know Max is here, and Max has it, and Max got it, when Paul ran off, so Max met Lena"),
+        (None, 1, "we know Max is here, and Paul has it, and Max got it, when Paul ran off, so Karl met Lena"),
+        (None, 1, "we know Max is here, and Max has it, and Paul got it, when Paul ran off, so Paul met Max"),
+    ]
+    bench = spark.createDataFrame([(0, item), (1, names)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.leaks(docs_of(spark, [x for *_, x in cases]), bench).collect()}
+    assert got == {(i, item, kind) for i, (kind, item, _) in enumerate(cases) if kind}
+
+
 def brute_leaks(docs, items):
     """By words: the share of an item's windows of five that a text holds."""
     import re
