@@ -4,8 +4,9 @@ Each token is served in the restaurant of its context, which is the token before
 is a restaurant for each distinct token of the corpus. All contexts' restaurants share one parent, the restaurant of all
 tokens, whose base is uniform over the training vocabulary and one place for all that isn't in it. Tables of a context's
 restaurant are customers of the parent. A Gibbs sweep takes up each dish of each restaurant in turn, empties its tables and
-seats its customers again, under the parent's current predictive probability; the numbers of customers and tables after
-burn-in are averaged, and give the predictive probabilities that texts are scored with.
+seats its customers again, under the parent's current predictive probability: one by one up to 32 customers, and then in
+steps of a sixteenth of those seated, by a binomial draw at the odds of the step's begin (`seat`). So the tables of a dish
+of more than 32 customers are those of an approximate sampler. The numbers of customers and tables after burn-in are averaged, and give the predictive probabilities that texts are scored with.
 
 The work is dealt by token: texts are read in blocks of `BLOCK_TOKENS`; a block tells each shard of the token space the
 distinct tokens and (context, token) pairs that it holds, with their training counts, and keeps its texts as numbers of

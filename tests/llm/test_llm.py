@@ -607,6 +607,13 @@ def test_word_contexts_sum_to_one(spark, shards):
     assert (p > 0).all() and p.sum() + got[0] == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_do_not_follow_the_shards(spark):
+    """A hot token's shard is no sample of the corpus."""
+    docs = docs_of(spark, [f"hot{' hot' * 40} w{i % 50} v{i}" for i in range(400)])
+    totals = [pitman_yor.score(docs, F.col("doc_id") % 7 == 2, shards=k).agg(F.sum("score")).first()[0] for k in (1, 16)]
+    assert totals[1] == pytest.approx(totals[0], rel=2e-3)
+
+
 def test_pack_round_trip():
     arrays = [np.arange(5, dtype=np.uint64) << 40, np.zeros(0, np.uint8), np.array([1.5, -2], np.float32), np.array([True, False])]
     for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True):
