@@ -379,6 +379,21 @@ def test_language_defined_cases(spark, documents):
     assert alone.languages == ["de"]
 
 
+def test_copies_are_learned_from(spark):
+    """A language of many rows and few texts is among the model's; texts of a large script are told apart."""
+    from sessiondeck.llm.language_id import kernel, presence
+
+    rows = [(i, f"word{chr(97 + i % 26)} text{chr(97 + i // 26)}", "en") for i in range(400)] + [(1000 + i, ["ein Satz", "noch ein Satz"][i % 2], "de") for i in range(20000)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == ["de", "en"]
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, start + rng.integers(0, 3000, 60000))) for start in (0x4E00, 0x4E00, 0xAC00)]
+    k = kernel(*[presence(texts)[0]] * 2)
+    assert k[0, 1] > 2 * k[0, 2] and k[0, 2] < 0.01 and np.allclose(np.diag(k), 1)
+    grams = language_id.ngrams(texts)[0]
+    assert np.allclose(language_id.against(grams, *language_id.index(grams)), k, atol=1e-6)
+
+
 # --- 7 SpotSigs ---------------------------------------------------------------
 
 
