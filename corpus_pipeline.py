@@ -20,7 +20,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go from every text; n_chars follows."""
-    left = line_dedup.drop_common_lines(docs)
+    left = line_dedup.drop_common_lines(docs, by_id=True)
     return left.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -5,8 +5,9 @@ left is put together by position. Only DataFrame functions. The exploded rows ca
 line, so the text itself is shuffled once, when the flags meet it.
 
 Defined cases: a null or empty text is one empty line and stays as it is; lines whose key is shorter than
-`min_key_chars` are never dropped; a line repeated within a document counts that document once; each row is one document,
-and rows that repeat in every column get the same result each; a null doc_id is an id like others; columns of the input
+`min_key_chars` are never dropped; a line repeated within a document counts that document once; each row is one document, or with
+`by_id`, as the query and the pipeline have it and as the SQL counts, all rows of a doc_id are, and those of a null doc_id
+none; rows that repeat in every column get the same result each; a null doc_id is an id like others; columns of the input
 besides text stay, and names that this operator needs for itself are prefixed with `_ld_`.
 Two keys with equal 64-bit hashes count as one: for d shared keys, the odds of a line being dropped wrongly are d / 2**64.
 """
@@ -26,15 +27,16 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(common.ascii_lower(text), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)))
 
 
-def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS, text: str = "text", doc_id: str = "doc_id", by_id: bool = False) -> DataFrame:
     """The rows of docs with `text` as it is left, and `n_lines` and `n_dropped` besides (replacing columns so named)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     hashed = F.transform(line_keys(whole), lambda x: F.when(F.char_length(x) >= min_key_chars, F.xxhash64(x)))  # null: always kept
     keyed = docs.select(F.col(doc_id).alias("_ld_id"), F.xxhash64(whole).alias("_ld_text"), hashed.alias("_ld_hashes"))
+    held = keyed.select("_ld_id", F.explode(F.array_distinct("_ld_hashes")).alias("_ld_hash")).where(F.col("_ld_hash").isNotNull())
+    if by_id:
+        held = held.where(F.col("_ld_id").isNotNull()).distinct()
     shared = (
-        keyed.select(F.explode(F.array_distinct("_ld_hashes")).alias("_ld_hash"))
-        .where(F.col("_ld_hash").isNotNull())
-        .groupBy("_ld_hash").agg(F.count("*").alias("_ld_n")).where(F.col("_ld_n") >= min_documents)
+        held.groupBy("_ld_hash").agg(F.count("*").alias("_ld_n")).where(F.col("_ld_n") >= min_documents)
         .select("_ld_hash")
     )
     shared = common.cut(shared)  # few rows; read from there, a line that very many documents hold can be dealt over several tasks of the join
@@ -63,7 +65,7 @@ def _marks(gone: Column, n: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = drop_common_lines(docs)
+    out = drop_common_lines(docs, by_id=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

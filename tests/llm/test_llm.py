@@ -678,6 +678,17 @@ def test_line_defined_cases(spark):
     assert got == [("1", "b", 1)] * 3 + [("2", None, 0), ("None", "c", 1)] or got == sorted([("1", "b", 1)] * 3 + [("2", None, 0), ("None", "c", 1)], key=str)
 
 
+def test_lines_of_a_repeated_row_count_once(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "a\nown")] * 10 + [(None, "b")] * 10 + [(2 + i, f"c\nx{i}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    dropped = lambda out: {(r["doc_id"], r["n_dropped"]) for r in out.collect()}
+    assert dropped(queries.QUERIES["op10_line_dedup"](spark, str(tmp_path))) == {(1, 0), (None, 0), *((2 + i, 1) for i in range(10))}
+    assert {r["text"] for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()} == {"a\nown", "b", *(f"x{i}" for i in range(10))}
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = queries.QUERIES["op10_line_dedup"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
