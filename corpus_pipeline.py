@@ -25,13 +25,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays; of rows that repeat it, one.
+    """Of each group of near copies a row of the smallest doc_id stays, one only; a doc_id in several groups is judged in each.
 
     Rows without a doc_id go if their group has one that has; else one row of each fingerprint stays.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"))  # a text lies in one group, so groups never share these
+    found = simhash.near_duplicates(docs.select(F.when(F.col("doc_id").isNotNull(), named).alias("doc_id"), "text"))
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.of").alias("_of")).distinct()
+    kept = docs.where(F.col("doc_id").isNotNull()).withColumn("_of", F.xxhash64("text")).join(first, ["doc_id", "_of"], "left_semi").dropDuplicates(["doc_id", "_of"]).select(*docs.columns)
     nameless = docs.where(F.col("doc_id").isNull()).withColumn("_text", F.col("text"))
     prints = simhash.fingerprints(nameless, "_text").withColumn("_print", simhash.hex_of("fp"))
     alone = found.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_print")).distinct()

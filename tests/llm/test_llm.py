@@ -743,3 +743,14 @@ def test_pipeline_against_the_operators(spark, documents, texts):
     assert corpus_pipeline.drop_leaks(spark, documents, SF).count() < len(texts)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents.limit(0), SF).count() == 0
+
+
+def test_near_copies_of_a_repeated_id(spark):
+    """One row of each group, also where a doc_id has several texts."""
+    import corpus_pipeline
+
+    sky, soup = "the wide blue sky over the quiet northern hills at noon", "boil water and add salt onions carrots beans then wait an hour"
+    rows = [(1, sky), (1, sky), (1, soup), (1, sky.upper()), (2, soup), (3, "zebras run fast across dry yellow plains chasing distant rain clouds"), (2, "quick engines hum below grey harbour cranes lifting rusty containers")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars")
+    got = sorted((r["doc_id"], r["text"].lower()) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert got == sorted([(1, sky), (1, soup), (3, rows[5][1]), (2, rows[6][1])])
