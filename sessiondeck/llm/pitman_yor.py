@@ -2,20 +2,27 @@
 
 Each token is served in the restaurant of its context, which is the token before it, or the beginning of the text: so there
 is a restaurant for each distinct token of the corpus. All contexts' restaurants share one parent, the restaurant of all
-tokens, whose base is uniform over the training vocabulary and one place for all that isn't in it. Tables of a context's
-restaurant are customers of the parent. A Gibbs sweep takes up each dish of each restaurant in turn, empties its tables and
-seats its customers again, under the parent's current predictive probability: one by one up to 32 customers, and then in
-steps of a sixteenth of those seated, by a binomial draw at the odds of the step's begin (`seat`). So the tables of a dish
-of more than 32 customers are those of an approximate sampler. The numbers of customers and tables after burn-in are averaged, and give the predictive probabilities that texts are scored with.
-
-The work is dealt by token: texts are read in blocks of `BLOCK_TOKENS`; a block tells each shard of the token space the
-distinct tokens and (context, token) pairs that it holds, with their training counts, and keeps its texts as numbers of
-these pairs. A shard adds up all blocks' counts, seats the customers of its tokens, and answers each block in the block's
-own order. The tokens of one context lie in many shards, so between two sweeps each shard tells the shard that a context
-falls in, as a token, its tables there, and is told their sum over all shards; the parent's totals are two numbers, added up
-for all. So a sweep seats under the whole corpus's totals as the sweep before it left them, and the scores are normalised
-exactly. No vocabulary is ever in one place: a worker holds one block or one shard, and what is exchanged follows the corpus.
-The seating of a shard is seeded by its number and the sweep's, so a repeated task seats alike.
+tokens; tables of a context's restaurant are customers of the parent. The contexts have discount `DISCOUNT` and strength
+`STRENGTH`. The parent has discount 0 and a base of `PLACE` for each place: one for each word of the training vocabulary and
+one for all that isn't in it; with that discount its own tables integrate out, and its weights given its customers are
+Dirichlet.
+
+Seating is sampled by Gibbs, with two kinds of auxiliary variables that make all (context, word) pairs independent of each
+other: a gamma variable g for each context, given its tables (it replaces the product of the strengths by g ** tables), and
+the parent's weights, given its customers. Then the number of tables of a pair with n customers is t with odds
+S(n, t) * a**t, where S are generalised Stirling numbers and a = DISCOUNT * g * the word's weight. With discount 1/2, S has a
+closed form for any n, so each draw is exact (`draw_tables`), whatever the number of customers. A sweep draws all g and all
+weights from the tables of the sweep before, and then all tables; nothing in it is approximate or out of date. A pair of one
+customer always has one table and takes no part. Each variable's random numbers come from the hashes of its tokens and the
+number of the sweep, so results depend neither on how the work is dealt nor on tasks that are repeated. After `BURN_IN`
+sweeps the predictive probabilities are averaged over `SAMPLES` ones.
+
+The work is dealt by pair: texts are read in blocks of `BLOCK_TOKENS`; a block tells each shard of the space of pairs' hashes
+the distinct pairs that it holds, with their training counts, and each home (a shard of the space of tokens' hashes) its
+distinct tokens. There is a shard for each `SHARD_BYTES` of text. A shard adds up all blocks' counts and draws its pairs'
+tables; between two sweeps it tells the homes of its words and contexts its sums of tables, and is told their sums over all
+shards. A frequent word or context is so spread over all shards, and no vocabulary is ever in one place: a worker holds one
+block, one shard or one home. At the end each block is answered in its own order and scores its texts.
 
 Tokens are known by 64-bit hashes: two tokens of V share one with odds V**2 / 2**65.
 
@@ -26,7 +33,7 @@ are scored each, and trained on each; null doc_ids are kept; the result has doc_
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,17 +41,21 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, vec
 
-CONTEXTS = 0  # restaurants given beforehand: all come from the corpus
 BLOCK_TOKENS = 1 << 21
-DISCOUNT, STRENGTH = 0.75, 10.0  # of the contexts' restaurants
-ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 100.0
+SHARD_BYTES = 16 << 20
+DISCOUNT = 0.5  # the draws' closed form holds for this one
+STRENGTH, PLACE = 0.5, 2.0
 BURN_IN, SAMPLES = 2, 3
 STATE = -1  # in place of the shard that a message comes from
 END = np.uint64(0x45D9F3B3335B369D)
 START = np.uint64(0x9D39247E33776D41)
+UNSEEN = np.uint64(0x2B992DDFA23249D6)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_UNIT = 1 << 16  # weights are summed as multiples of 1 / _UNIT, so that their order doesn't matter
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -67,180 +78,269 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and contexts of all texts' tokens, ends among them, and where each text's begin."""
+def gaps(hashes: np.ndarray) -> np.ndarray:
+    return np.diff(hashes, prepend=np.uint64(0))
+
+
+def ungap(gap: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(gap, dtype=np.uint64)
+
+
+def _counts(x: np.ndarray) -> np.ndarray:
+    """In the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
+
+
+# --- random draws, all from keys and counters ---------------------------------
+
+
+def uniform(key: np.ndarray, *counters: int) -> np.ndarray:
+    """A number in (0, 1) for each key and these counters."""
+    with np.errstate(over="ignore"):
+        for c in counters:
+            key = vec.mix(key + np.uint64(2 * c + 1) * _GOLDEN)
+    return ((key >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def gamma(shape: np.ndarray, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Gamma variates of scale 1, by Marsaglia and Tsang's rejection; below shape 1, of one more and then scaled down."""
+    small = shape < 1
+    d = shape + small - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, left, attempt = np.zeros(len(shape)), np.arange(len(shape)), 0
+    while len(left):
+        own = key[left]
+        x = np.sqrt(-2 * np.log(uniform(own, sweep, 3 * attempt))) * np.cos(2 * np.pi * uniform(own, sweep, 3 * attempt + 1))
+        v = (1 + c[left] * x) ** 3
+        positive = np.maximum(v, 1e-300)
+        good = (v > 0) & (np.log(uniform(own, sweep, 3 * attempt + 2)) < x * x / 2 + d[left] * (1 - positive + np.log(positive)))
+        out[left[good]] = (d[left] * v)[good]
+        left, attempt = left[~good], attempt + 1
+    some = np.flatnonzero(small)
+    out[some] *= uniform(key[some], sweep, 1 << 20) ** (1 / shape[some])
+    return out
+
+
+def draw_tables(n: np.ndarray, a: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """For each dish of n customers its number of tables t, of odds S(n, t) * a**t, from a uniform number u.
+
+    S(n, t) = (2n - t - 1)! / ((n - t)! (t - 1)!) / 4**(n - t), so the odds of t + 1 to t are 4a (n - t) / (t (2n - t - 1)),
+    which fall with t: the mode is where they pass 1, and the odds are summed from there to both sides, twice.
+    """
+    n, last = n.astype(np.float64), 2 * n.astype(np.float64) - 1
+    ratio = lambda t, n, last, a: 4 * a * (n - t) / (t * (last - t))
+    half = (last + 4 * a) / 2
+    mode = np.clip(np.ceil(4 * a * n / (half + np.sqrt(np.maximum(half * half - 4 * a * n, 0)))), 1, n)
+
+    def steps(up: bool, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Dishes, tables and odds against the mode's, one step further away each time, until nothing is left to add."""
+        t, odds, (m, end, b) = mode[left], np.ones(len(left)), (n[left], last[left], a[left])
+        while True:
+            more = np.flatnonzero((t < m) if up else (t > 1))
+            left, t, odds, m, end, b = (x[more] for x in (left, t, odds, m, end, b))
+            if not len(left):
+                return
+            odds = odds * ratio(t, m, end, b) if up else odds / ratio(t - 1, m, end, b)
+            t = t + 1 if up else t - 1
+            more = np.flatnonzero(odds > 1e-18)
+            left, t, odds, m, end, b = (x[more] for x in (left, t, odds, m, end, b))
+            yield left, t, odds
+
+    every = np.flatnonzero(n > 1)
+    total = np.ones(len(n))
+    for up in (True, False):
+        for at, _, odds in steps(up, every):
+            total[at] += odds
+    out, rest = mode.copy(), u * total - 1  # what is left when the mode has taken its share
+    left = every[rest[every] > 0]
+    for up in (True, False):
+        for at, t, odds in steps(up, left):
+            open_ = rest[at] > 0
+            at, t, odds = at[open_], t[open_], odds[open_]
+            out[at] = t
+            rest[at] -= odds
+        left = left[rest[left] > 0]
+    return out.astype(np.int64)
+
+
+def seat(word: np.ndarray, context: np.ndarray, n: np.ndarray, words: np.ndarray, contexts: np.ndarray, weight: np.ndarray, in_context: np.ndarray, sweep: int) -> np.ndarray:
+    """A sweep's tables of all pairs. word, context: as places in their hashes; weight: of each word at the parent; in_context: tables of each context."""
+    g = gamma(STRENGTH / DISCOUNT + in_context, contexts, 2 * sweep)
+    with np.errstate(over="ignore"):
+        key = vec.mix(words[word] * np.uint64(3) + contexts[context])
+    return draw_tables(n, DISCOUNT * g[context] * weight[word], uniform(key, 2 * sweep))
+
+
+def weights(customers: np.ndarray, words: np.ndarray, sweep: int) -> np.ndarray:
+    """Of each word at the parent, as whole multiples of 1 / _UNIT, before they are divided by their sum."""
+    return np.maximum(1, np.rint(gamma(PLACE + customers, words, 2 * sweep + 1) * _UNIT)).astype(np.int64)
+
+
+def unseen_weight(sweep: int) -> int:
+    """Of the place of all words outside the vocabulary."""
+    return int(weights(np.zeros(1), np.array([UNSEEN]), sweep)[0])
+
+
+# --- blocks, shards and homes -----------------------------------------------
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens, ends among them, and where each text's begin."""
     data, offsets = vec.buffers(texts)
     starts, ends = vec.spans(data, offsets, ~vec.SPACE)
     words, n = vec.hashes(data, starts, ends), len(texts)
     words[(words == END) | (words == START)] ^= np.uint64(1)
     at = vec.bounds(vec.owners(offsets, starts), n)
-    new_at = at + np.arange(n + 1)  # with an end for each text
     place = np.arange(len(words)) + np.repeat(np.arange(n), np.diff(at))
     out = np.full(len(words) + n, END, np.uint64)
     out[place] = words
-    context = np.full(len(out), START, np.uint64)
-    context[place + 1] = words
-    context[new_at[:-1]] = START
-    return out, context, new_at
+    return out, at + np.arange(n + 1)
+
+
+def pairs_of(index: np.ndarray, long: np.ndarray, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of some texts as word * size + context, in order, and each token's place among them."""
+    before = np.empty_like(index)
+    before[1:] = index[:-1]
+    before[np.cumsum(long) - long] = start
+    return np.unique(index * size + before, return_inverse=True)
+
+
+def pair_shards(word: np.ndarray, context: np.ndarray, shards: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((vec.mix(word * _GOLDEN + context) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def home_cuts(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Where each home's part of sorted hashes begins; homes are equal ranges."""
+    edge = [(1 << 64) * p // shards for p in range(shards)]
+    return np.concatenate([np.searchsorted(hashes, np.array(edge, np.uint64)), [len(hashes)]])
 
 
 class Block:
     """Some texts' tokens, gathered slice by slice."""
 
     def __init__(self) -> None:
-        self.word, self.context, self.train, self.ids, self.long, self.held, self.n = [], [], [], [], [], [], 0
+        self.word, self.ids, self.long, self.held, self.n = [], [], [], [], 0
 
     def add(self, part: pa.RecordBatch) -> None:
-        word, context, at = tokens(part.column("text"))
-        held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        word, at = tokens(part.column("text"))
         self.word.append(word)
-        self.context.append(context)
-        self.train.append(np.repeat(~held, np.diff(at)))
         self.ids += part.column("doc_id").to_pylist()
         self.long.append(np.diff(at))
-        self.held.append(held)
+        self.held.append(part.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
         self.n += len(word)
 
-    def told(self, shards: int) -> tuple[list[tuple[int, bytes]], bytes, int]:
-        """What each shard is asked, the texts as numbers of pairs, and the number of training tokens."""
-        word, context, train = (np.concatenate(x) for x in (self.word, self.context, self.train))
-        contexts, index = np.unique(np.append(word, START), return_inverse=True)
-        start, index = index[-1], index[:-1]
-        before = np.where(context == START, start, np.append(start, index[:-1]))
-        vocabulary, index = np.delete(contexts, start), index - (index > start)
-        pair, of = np.unique(index * len(contexts) + before, return_inverse=True)
-        trained = np.bincount(of[train], minlength=len(pair)).astype(np.uint32)
-        pair_word, pair_context = pair // len(contexts), pair % len(contexts)
-        cut = shard_cuts(vocabulary, shards)
-        pair_cut = np.searchsorted(pair_word, cut)
-        asked = []
+    def told(self, shards: int) -> Iterator[tuple[str, int, bytes, int]]:
+        """What each shard is told of pairs and each home of tokens, and the texts, as numbers of tokens."""
+        word, long, held = (np.concatenate(x) for x in (self.word, self.long, self.held))
+        vocabulary, index = np.unique(np.append(word, START), return_inverse=True)
+        start, index, size = int(index[-1]), index[:-1], len(vocabulary)
+        train = np.repeat(~held, long)
+        known = np.bincount(index[train], minlength=size)
+        known[start] = int((~held).sum())  # customers of the context
+        cut = home_cuts(vocabulary, shards)
+        for q in range(shards):
+            if cut[q] < cut[q + 1]:
+                yield "tokens", q, pack(gaps(vocabulary[cut[q] : cut[q + 1]]), _counts(known[cut[q] : cut[q + 1]])), 0
+        yield "texts", STATE, pack(gaps(vocabulary), index.astype(np.uint32), long.astype(np.uint32), held), int(train.sum())
+        pair, of = pairs_of(index, long, start, size)
+        trained = np.bincount(of[train], minlength=len(pair))
+        pair_word, pair_context = pair // size, pair % size
+        shard = pair_shards(vocabulary[pair_word], vocabulary[pair_context], shards)
+        order = np.argsort(shard, kind="stable")
+        bound = np.searchsorted(shard[order], np.arange(shards + 1))
         for p in range(shards):
-            a, b = cut[p], cut[p + 1]
-            if a < b:
-                x, y = pair_cut[p], pair_cut[p + 1]
-                per_word = np.bincount(pair_word[x:y] - a, minlength=b - a).astype(np.uint32)
-                some, at = np.unique(pair_context[x:y], return_inverse=True)
-                asked.append((p, pack(gaps(vocabulary[a:b]), per_word, gaps(contexts[some]), at.astype(np.uint32), trained[x:y])))
-        texts = pack(of.astype(np.uint32), pair_word.astype(np.uint32), np.concatenate(self.long).astype(np.uint32), np.concatenate(self.held))
-        return asked, texts, int(train.sum())
-
+            some = order[bound[p] : bound[p + 1]]
+            if len(some):
+                yield "pairs", p, pack_pairs(vocabulary, pair_word[some], pair_context[some], _counts(trained[some])), 0
 
-def gaps(hashes: np.ndarray) -> np.ndarray:
-    return np.diff(hashes, prepend=np.uint64(0))
 
+def pack_pairs(hashes: np.ndarray, word: np.ndarray, context: np.ndarray, *values: np.ndarray) -> bytes:
+    """Pairs in order of word and context, as places in hashes, with their values."""
+    words, n = np.unique(word, return_counts=True)
+    contexts, at = np.unique(context, return_inverse=True)
+    return pack(gaps(hashes[words]), _counts(n), gaps(hashes[contexts]), at.astype(np.uint32), *values)
 
-def ungap(gap: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumsum(gap, dtype=np.uint64)
 
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Words' and contexts' hashes, the pairs as places in them, and their values."""
+    gap, n, context_gap, at, *values = unpack(blob)
+    return ungap(gap), ungap(context_gap), np.repeat(np.arange(len(gap)), n), at.astype(np.int64), *values
 
-def shard_cuts(vocabulary: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of a sorted vocabulary begins; shards are equal ranges of hashes."""
-    edge = [np.uint64((1 << 64) * p // shards) for p in range(shards)]
-    return np.concatenate([np.searchsorted(vocabulary, np.array(edge, np.uint64)), [len(vocabulary)]])
 
-
-def seat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating each dish's customers. rate: (strength + discount * tables) * the parent's probability, by dish.
-
-    One by one up to 32 customers; then in growing steps, in each of which the odds of a new table stay as at its begin.
-    """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    active, n, step = np.flatnonzero(customers > 1), 1, 1
-    while len(active):
-        m = np.minimum(step, customers[active] - n)
-        odds = rate[active] / (rate[active] + np.maximum(n - discount * tables[active], 1e-12))
-        tables[active] += rng.random(len(active)) < odds if step == 1 else rng.binomial(m, odds)
-        n += step
-        step = 1 if n < 32 else max(1, n // 16)
-        active = active[customers[active] > n]
-    return tables
-
-
-def sweep(word: np.ndarray, context: np.ndarray, count: np.ndarray, tables: np.ndarray, root_tables: np.ndarray, in_tables: np.ndarray, all_root: float, all_root_tables: float, vocabulary: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of each (context, word) and of each word at the parent, seated anew. in_tables: of each context, and with the parent's totals: over the corpus."""
-    n_words = len(root_tables)
-    base = (ROOT_STRENGTH + ROOT_DISCOUNT * all_root_tables) / (vocabulary + 1)
-    probability = (np.bincount(word, tables, n_words) - ROOT_DISCOUNT * root_tables + base) / (ROOT_STRENGTH + all_root)
-    tables = seat(count, (STRENGTH + DISCOUNT * in_tables)[context] * probability[word], DISCOUNT, rng)
-    return tables, seat(np.bincount(word, tables, n_words).astype(np.int64), np.full(n_words, base), ROOT_DISCOUNT, rng)
-
-
-def begin(word: np.ndarray, count: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """One table for each dish."""
-    tables = np.minimum(count, 1).astype(np.float64)
-    return tables, np.minimum(np.bincount(word, tables, n_words), 1)
-
-
-def gibbs(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, in_context: np.ndarray, shards: int, vocabulary: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Averages after burn-in where all is in one shard: tables of each (context, word), and customers and tables of each word at the parent."""
-    rng, (tables, root_tables) = np.random.default_rng(seed), begin(word, count, n_words)
-    sums = [np.zeros(len(count)), np.zeros(n_words), np.zeros(n_words)]
-    for k in range(BURN_IN + SAMPLES):
-        in_tables = np.bincount(context, tables, len(in_context))
-        tables, root_tables = sweep(word, context, count, tables, root_tables, in_tables, tables.sum(), root_tables.sum(), vocabulary, rng)
-        if k >= BURN_IN:
-            for a, b in zip(sums, (tables, np.bincount(word, tables, n_words), root_tables), strict=True):
-                a += b
-    return tuple(x / SAMPLES for x in sums)
-
-
-def merge(blobs: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The blocks' own lists; the shard's sorted words and contexts; and the word, context and training count of its pairs."""
-    own = []
-    for blob in blobs:
-        gap, per_word, context_gap, at, trained = unpack(blob)
-        own.append((ungap(gap), per_word, ungap(context_gap), at, trained))
-    words, contexts = (np.unique(np.concatenate([x[j] for x in own])) for j in (0, 2))
+def merge(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each block's pairs among the shard's; the shard's words and contexts; and its pairs' words, contexts and training counts."""
+    own = [unpack_pairs(x) for x in blobs]
+    words, contexts = (np.unique(np.concatenate([x[j] for x in own])) for j in (0, 1))
     width = max(len(contexts), 1)
-    key = [np.repeat(np.searchsorted(words, x[0]), x[1]) * width + np.searchsorted(contexts, x[2])[x[3]] for x in own]
-    pairs = np.unique(np.concatenate(key))
-    count = np.zeros(len(pairs), np.int64)
-    places = [np.searchsorted(pairs, k) for k in key]
+    keys = [np.searchsorted(words, x[0])[x[2]] * width + np.searchsorted(contexts, x[1])[x[3]] for x in own]
+    pairs = np.unique(np.concatenate(keys))
+    places, count = [np.searchsorted(pairs, k) for k in keys], np.zeros(len(pairs), np.int64)
     for k, x in zip(places, own, strict=True):
         count[k] += x[4]
-    return [(np.searchsorted(words, x[0]), k) for x, k in zip(own, places, strict=True)], words, contexts, pairs // width, pairs % width, count
+    return places, words, contexts, pairs // width, pairs % width, count
+
+
+def summed(hashes: list[np.ndarray], values: list[np.ndarray], among: np.ndarray) -> np.ndarray:
+    """Sums over several sorted lists of tokens, for the tokens in `among`, which holds them all."""
+    total = np.zeros(len(among), np.int64)
+    for h, v in zip(hashes, values, strict=True):
+        total[np.searchsorted(among, h)] += v.astype(np.int64)
+    return total
+
+
+def messages(shards: int, words: np.ndarray, of_words: np.ndarray, contexts: np.ndarray, of_contexts: np.ndarray) -> list[tuple[int, bytes]]:
+    """A shard's values of its words and its contexts, to their homes."""
+    a, b = home_cuts(words, shards), home_cuts(contexts, shards)
+    part = lambda x, cut, q: x[cut[q] : cut[q + 1]]
+    return [
+        (q, pack(gaps(part(words, a, q)), _counts(part(of_words, a, q)), gaps(part(contexts, b, q)), _counts(part(of_contexts, b, q))))
+        for q in range(shards) if a[q] < a[q + 1] or b[q] < b[q + 1]
+    ]
 
 
-def messages(contexts: np.ndarray, shards: int, *values: np.ndarray) -> list[tuple[int, bytes]]:
-    """A shard's values of its contexts, to the shards that these fall in."""
-    cut = shard_cuts(contexts, shards)
-    return [(q, pack(gaps(contexts[cut[q] : cut[q + 1]]), *(x[cut[q] : cut[q + 1]].astype(np.uint32) for x in values))) for q in range(shards) if cut[q] < cut[q + 1]]
+class Home:
+    """Tokens of one range of hashes: n training customers of each (as context), and the tables that every pair has."""
 
+    def __init__(self, blob: bytes) -> None:
+        gap, self.n, of_word, of_context = unpack(blob)
+        self.hashes, self.of_word, self.of_context = ungap(gap), of_word.astype(np.int64), of_context.astype(np.int64)
 
-def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """To each shard: the sums over all shards of what was told of its contexts, in its own order."""
-    told = [unpack(x) for x in pdf["body"]]
-    hashes = [ungap(x[0]) for x in told]
-    contexts = np.unique(np.concatenate(hashes))
-    places, sums = [np.searchsorted(contexts, x) for x in hashes], np.zeros((len(told[0]) - 1, len(contexts)), np.int64)
-    for at, x in zip(places, told, strict=True):
-        for total, own in zip(sums, x[1:], strict=True):
-            total[at] += own
-    return pd.DataFrame({"shard": pdf["part"].to_numpy(), "part": pdf["shard"].to_numpy(), "body": [pack(*(x[at] for x in sums)) for at in places]})
+    def totals(self, told: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Customers at the parent and tables in the restaurant, with what the shards tell of tables beyond the first."""
+        return self.of_word + summed([ungap(x[0]) for x in told], [x[1] for x in told], self.hashes), self.of_context + summed([ungap(x[2]) for x in told], [x[3] for x in told], self.hashes)
+
+
+def bound(f: Callable, *args: object) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: f(pdf, *args)
 
 
 def perplexity(log10: float, n: int) -> float:
     return 10 ** (-log10 / max(n, 1))
 
 
-def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id", block_tokens: int = BLOCK_TOKENS, shards: int | None = None) -> DataFrame:
+def shards_for(texts: DataFrame, text: str = "text") -> int:
+    """One for each SHARD_BYTES, so that none grows with the corpus."""
+    return max(1, -(-int(texts.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0) // SHARD_BYTES))
+
+
+def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id", block_tokens: int = BLOCK_TOKENS, shards: int | None = None, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. held: over doc_id, which rows aren't learned from."""
     spark = docs.sparkSession
-    shards = shards or common.partitions(spark)
+    shards = shards or shards_for(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("held_out", held)
     id_type = docs.schema[doc_id].dataType
-    arrow_id = pa.large_string() if isinstance(id_type, T.StringType) else pa.int64()
-    kinds = {"block": pa.int64(), "shard": pa.int32(), "body": pa.binary(), "ids": pa.list_(arrow_id), "trained": pa.int64()}
-    schema = f"block long, shard int, body binary, ids array<{id_type.simpleString()}>, trained long"
+    kinds = {"block": pa.int64(), "kind": pa.string(), "shard": pa.int32(), "body": pa.binary(), "ids": pa.list_(to_arrow_type(id_type)), "trained": pa.int64()}
+    ids_schema = f"ids array<{id_type.simpleString()}>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(), TaskContext.get().partitionId() << 32
 
         def told() -> Iterator[pa.RecordBatch]:
-            asked, texts, trained = block.told(shards)
-            for p, body, ids, c in [*((p, body, None, None) for p, body in asked), (-1, texts, block.ids, trained)]:
-                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((number, p, body, ids, c), kinds.values(), strict=True)], list(kinds))
+            for kind, p, body, trained in block.told(shards):
+                row = number, kind, p, body, block.ids if kind == "texts" else None, trained
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds.values(), strict=True)], list(kinds))
 
         for batch in batches:
             for part in vec.slices(batch):
@@ -251,102 +351,156 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
         if block.n:
             yield from told()
 
-    blocks = common.cut(rows.mapInArrow(read, schema))
-    texts = blocks.where("shard < 0")
-    total = int(texts.agg(F.sum("trained")).first()[0] or 0)
-    asked = blocks.where("shard >= 0").select("shard", F.lit(STATE + 1).alias("part"), "body", "block")
-    step_schema = "shard int, part int, body binary, words double, customers double, root_tables double"
+    blocks = common.cut(rows.mapInArrow(read, f"block long, kind string, shard int, body binary, {ids_schema}, trained long"))
+    texts, of_tokens, of_pairs = (blocks.where(F.col("kind") == k) for k in ("texts", "tokens", "pairs"))
+    train_tokens = int(texts.agg(F.sum("trained")).first()[0] or 0)
+    message = "shard int, part int, body binary"
 
-    def stepped(shard: int, state: tuple, contexts: np.ndarray, n_trained: int, *values: np.ndarray) -> pd.DataFrame:
-        """A shard's state, what it tells of its contexts, and its part of the parent's totals."""
-        rows = [(shard, STATE, pack(*state), float(n_trained), float(state[1].sum()), float(state[2].sum()))]
-        return pd.DataFrame(rows + [(q, shard, body, 0.0, 0.0, 0.0) for q, body in messages(contexts, shards, *values)], columns=["shard", "part", "body", "words", "customers", "root_tables"])
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["shard", "part", "body"])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A shard's pairs of several customers, and how many pairs each of its tokens has."""
         _, words, contexts, word, context, n = merge(pdf.sort_values("block")["body"].tolist())
-        tables, root_tables = begin(word, n, len(words))
-        per_word, here = np.bincount(word, minlength=len(words)), lambda x: np.bincount(context, x, len(contexts))
-        state = gaps(contexts), tables.astype(np.uint32), root_tables.astype(np.uint32), per_word.astype(np.uint32), context.astype(np.uint32), n.astype(np.uint32)
-        return stepped(int(pdf["shard"].iloc[0]), state, contexts, int((np.bincount(word, n, len(words)) > 0).sum()), here(tables), here(n))
-
-    def told(pdf: pd.DataFrame, k: int) -> tuple:
-        """A shard's state before sweep k, with the sums of its contexts in the sums' place."""
-        pdf = pdf.sort_values("part")
-        state = unpack(pdf["body"].iloc[0])
-        replies = [unpack(x) for x in pdf["body"].iloc[1:]]
-        in_tables = np.concatenate([x[0] for x in replies])
-        if k == 0:
-            extra = [np.concatenate([x[1] for x in replies]), *(np.zeros(len(x), np.uint32) for x in state[:3])]
-        else:
-            extra = state[6:]
-        if k > BURN_IN:
-            extra[1] = extra[1] + in_tables
-        return state[:6], in_tables, extra
-
-    def step(pdf: pd.DataFrame, k: int, all_root: float, all_root_tables: float) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        (gap, tables, root_tables, per_word, context, n), in_tables, (in_context, *sums) = told(pdf, k)
-        word = np.repeat(np.arange(len(per_word)), per_word)
-        tables, root_tables = sweep(word, context, n, tables, root_tables, in_tables, all_root, all_root_tables, vocabulary, np.random.default_rng([shard, k]))
-        if k >= BURN_IN:
-            sums[1:] = sums[1] + tables, sums[2] + root_tables
-        contexts = ungap(gap)
-        state = gap, tables.astype(np.uint32), root_tables.astype(np.uint32), per_word, context, n, in_context, *(np.asarray(x).astype(np.int64) for x in sums)
-        return stepped(shard, state, contexts, 0, np.bincount(context, tables, len(contexts)))
-
-    def exchanged(out: DataFrame) -> tuple[DataFrame, tuple[float, float, float]]:
-        """The states and the answers to them, and the totals over all shards."""
-        out = common.cut(out)
+        p, seen, many = int(pdf["shard"].iloc[0]), n > 0, n > 1
+        every = np.unique(np.concatenate([words, contexts]))
+        state = pack_pairs(every, np.searchsorted(every, words)[word[many]], np.searchsorted(every, contexts)[context[many]], _counts(n[many]), np.zeros(int(many.sum()), np.uint8))
+        told = messages(shards, words, np.bincount(word[seen], minlength=len(words)), contexts, np.bincount(context[seen], minlength=len(contexts)))
+        return frame([(p, STATE, state), *((q, p, body) for q, body in told)])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A home's tokens, from the blocks' counts and the shards'; its words and their customers at the parent, in which each pair has one table."""
+        of_block = pdf["part"] == STATE
+        counted, told = [unpack(x) for x in pdf.loc[of_block, "body"]], [unpack(x) for x in pdf.loc[~of_block, "body"]]
+        hashes = np.unique(np.concatenate([ungap(x[0]) for x in counted]))
+        n = summed([ungap(x[0]) for x in counted], [x[1] for x in counted], hashes)
+        word, context = (summed([ungap(x[j]) for x in told], [x[j + 1] for x in told], hashes) for j in (0, 2))
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "part": STATE, "body": [pack(gaps(hashes), _counts(n), _counts(word), _counts(context))], "words": int((word > 0).sum()), "customers": int(word.sum())})
+
+    gathered = common.cut(of_pairs.groupBy("shard").applyInPandas(gather, message))
+    states = gathered.where(F.col("part") == STATE)
+    counted = of_tokens.select("shard", F.lit(STATE).alias("part"), "body").unionByName(gathered.where(F.col("part") != STATE))
+    homes = common.cut(counted.groupBy("shard").applyInPandas(settle, f"{message}, words long, customers long"))
+    vocabulary, first_customers = (int(x or 0) for x in homes.agg(F.sum("words"), F.sum("customers")).first())
+    homes = homes.select("shard", "part", "body")
+
+    def reply(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+        """To each shard, in its own order: its words' customers at the parent and its contexts' tables, over all shards. To all: the home's sum of weights."""
+        home, told = Home(pdf.loc[pdf["part"] == STATE, "body"].iloc[0]), pdf[pdf["part"] != STATE]
+        bodies = [unpack(x) for x in told["body"]]
+        customers, in_context = home.totals(bodies)
+        words = home.of_word > 0
+        total = int(weights(customers[words], home.hashes[words], k).sum())
+        back = [pack(_counts(customers[np.searchsorted(home.hashes, ungap(x[0]))]), _counts(in_context[np.searchsorted(home.hashes, ungap(x[2]))])) for x in bodies]
+        q = int(pdf["shard"].iloc[0])
+        out = pd.DataFrame([(int(p), q, body, 0) for p, body in zip(told["part"], back, strict=True)] + [(q, STATE, None, total)], columns=["shard", "part", "body", "weight"])
+        return out
+
+    def parts(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        return unpack_pairs(pdf.loc[pdf["part"] == STATE, "body"].iloc[0])
+
+    def told_of(p: int, words: np.ndarray, contexts: np.ndarray, word: np.ndarray, context: np.ndarray, tables: np.ndarray) -> list[tuple]:
+        more = tables - 1
+        told = messages(shards, words, np.bincount(word, more, len(words)).astype(np.int64), contexts, np.bincount(context, more, len(contexts)).astype(np.int64))
+        return [(q, p, body) for q, body in told]
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        words, contexts, word, context, n, _ = parts(pdf)
+        return frame(told_of(int(pdf["shard"].iloc[0]), words, contexts, word, context, np.ones(len(n), np.int64)))
+
+    def sweep(pdf: pd.DataFrame, k: int, total: int) -> pd.DataFrame:
+        words, contexts, word, context, n, sums = parts(pdf)
+        replies = [unpack(x) for x in pdf[pdf["part"] != STATE].sort_values("part")["body"]]
+        customers, in_context = (np.concatenate([x[j] for x in replies] or [np.zeros(0)]) for j in (0, 1))
+        p = int(pdf["shard"].iloc[0])
+        tables = seat(word, context, n, words, contexts, weights(customers, words, k) / total, in_context, k)
+        sums = sums.astype(np.int64) + (tables if k >= burn_in else 0)
+        every = np.unique(np.concatenate([words, contexts]))
+        state = pack_pairs(every, np.searchsorted(every, words)[word], np.searchsorted(every, contexts)[context], n, _counts(sums))
+        return frame([(p, STATE, state), *told_of(p, words, contexts, word, context, tables)])
+
+    told = states.groupBy("shard").applyInPandas(begin, message)
+    taken, customers_at = [], []  # the shards' messages of each sample
+    for k in range(burn_in + samples):
+        replies = common.cut(homes.unionByName(told).groupBy("shard").applyInPandas(bound(reply, k), f"{message}, weight long"))
+        total = int(replies.agg(F.sum("weight")).first()[0] or 0) + unseen_weight(k)
+        both = states.unionByName(replies.where(F.col("part") != STATE).select("shard", "part", "body"))
+        out = common.cut(both.groupBy("shard").applyInPandas(bound(sweep, k, total), message))
+        states, told = out.where(F.col("part") == STATE), out.where(F.col("part") != STATE)
         spark._jvm.System.gc()  # what earlier sweeps have left on disk goes
-        totals = out.where(F.col("part") == STATE).agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in ("words", "customers", "root_tables")]).first()
-        out = out.select("shard", "part", "body")
-        replies = out.where(F.col("part") != STATE).groupBy("shard").applyInPandas(add_up, "shard int, part int, body binary")
-        return out.where(F.col("part") == STATE).unionByName(replies), tuple(totals)
-
-    states, (vocabulary, *totals) = exchanged(asked.groupBy("shard").applyInPandas(gather, step_schema))
-    all_root = all_root_tables = 0.0
-    for k in range(BURN_IN + SAMPLES):
-        args = (k, *totals)
-        states, (_, *totals) = exchanged(states.groupBy("shard").applyInPandas(lambda pdf: step(pdf, *args), step_schema))
-        if k >= BURN_IN:
-            all_root, all_root_tables = all_root + totals[0] / SAMPLES, all_root_tables + totals[1] / SAMPLES
-    root_new = (ROOT_STRENGTH + ROOT_DISCOUNT * all_root_tables) / (ROOT_STRENGTH + all_root) / (vocabulary + 1)
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        """To each block: its words' training counts and its pairs' log10 probabilities."""
-        mine = pdf["block"].isna()
-        (*_, context, n), _, (in_context, in_tables, tables, root_tables) = told(pdf[mine], BURN_IN + SAMPLES)
-        pdf = pdf[~mine].sort_values("block")
-        own, words, _, word, *_ = merge(pdf["body"].tolist())
-        customers = np.bincount(word, tables, len(words)) / SAMPLES
-        root = np.maximum(customers - ROOT_DISCOUNT * root_tables / SAMPLES, 0) / (ROOT_STRENGTH + all_root) + root_new
-        new_table = (STRENGTH + DISCOUNT * in_tables / SAMPLES) / (STRENGTH + in_context)
-        p = np.maximum(n - DISCOUNT * tables / SAMPLES, 0) / (STRENGTH + in_context[context]) + new_table[context] * root[word]
-        log10, of_word = np.log10(p).astype(np.float32), np.bincount(word, n, len(words))
-        told_back = [pack(of_word[w].astype(np.uint32), log10[k]) for w, k in own]
-        return pd.DataFrame({"block": pdf["block"].to_numpy().astype(np.int64), "shard": pdf["shard"].to_numpy(), "body": told_back})
-
-    asked = asked.unionByName(states.withColumn("block", F.lit(None).cast("long")))
-    answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard int, body binary")
+        if k >= burn_in:
+            taken.append(told)
+
+    def finally_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
+        """To each block: its tokens' training counts, and their customers at the parent and tables in each sample, after the first as differences."""
+        home, sums = Home(pdf.loc[pdf["sample"] == STATE, "body"].iloc[0]), []
+        for s in range(samples):
+            sums.append(home.totals([unpack(x) for x in pdf.loc[pdf["sample"] == s, "body"]]))
+        asked = pdf[pdf["block"].notna()]
+        out = []
+        for body in asked["body"]:
+            at = np.searchsorted(home.hashes, ungap(unpack(body)[0]))
+            out.append(pack(home.n[at], *(_counts(sums[0][j][at]) for j in (0, 1)), *((sums[s][j][at] - sums[0][j][at]).astype(np.int32) for s in range(1, samples) for j in (0, 1))))
+        return pd.DataFrame({"block": asked["block"].astype(np.int64).to_numpy(), "kind": "tokens", "shard": asked["shard"].to_numpy(), "body": out})
+
+    def finally_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        """To each block: its pairs' training counts, and their tables summed over the samples."""
+        asked = pdf[pdf["block"].notna()].sort_values("block")
+        places, words, contexts, word, context, n = merge(asked["body"].tolist())
+        tables = np.minimum(n, 1) * samples
+        many = np.flatnonzero(n > 1)  # in the state's order
+        if len(many):
+            tables[many] = unpack(pdf.loc[pdf["block"].isna(), "body"].iloc[0])[5]
+        return pd.DataFrame({"block": asked["block"].astype(np.int64).to_numpy(), "kind": "pairs", "shard": asked["shard"].to_numpy(), "body": [pack(_counts(n[k]), _counts(tables[k])) for k in places]})
+
+    nothing = F.lit(None).cast("long")
+    final_homes = homes.select("shard", "body", F.lit(STATE).alias("sample"), nothing.alias("block"))
+    for s, x in enumerate(taken):
+        final_homes = final_homes.unionByName(x.select("shard", "body", F.lit(s).alias("sample"), nothing.alias("block")))
+    final_homes = final_homes.unionByName(of_tokens.select("shard", "body", F.lit(samples).alias("sample"), "block"))
+    final_pairs = states.select("shard", "body", nothing.alias("block")).unionByName(of_pairs.select("shard", "body", "block"))
+    answer = "block long, kind string, shard int, body binary"
+    answers = final_homes.groupBy("shard").applyInPandas(finally_tokens, answer).unionByName(final_pairs.groupBy("shard").applyInPandas(finally_pairs, answer))
     out_schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard")
-        parts = [unpack(x) for x in pdf["body"].iloc[1:]]
-        of_word, log10 = (np.concatenate([x[j] for x in parts]) for j in range(2))
-        of, pair_word, long, held = unpack(pdf["body"].iloc[0])
-        at = np.concatenate([[0], np.cumsum(long.astype(np.int64))[:-1]])
-        c = of_word[pair_word[of]].astype(np.float64)
+        mine = pdf[pdf["kind"] == "texts"].iloc[0]
+        gap, index, long, held = unpack(mine["body"])
+        hashes, index, long = ungap(gap), index.astype(np.int64), long.astype(np.int64)
+        per_token = [unpack(x) for x in pdf[pdf["kind"] == "tokens"].sort_values("shard")["body"]]
+        n, customers, tables, *more = (np.concatenate([x[j] for x in per_token]).astype(np.int64) for j in range(1 + 2 * samples))
+        start, size = int(np.searchsorted(hashes, START)), len(hashes)
+        pair, of = pairs_of(index, long, start, size)
+        word, context = pair // size, pair % size
+        order = np.argsort(pair_shards(hashes[word], hashes[context], shards), kind="stable")
+        per_pair = [unpack(x) for x in pdf[pdf["kind"] == "pairs"].sort_values("shard")["body"]]
+        count, of_tables = np.empty(len(pair)), np.empty(len(pair))
+        count[order], of_tables[order] = (np.concatenate([x[j] for x in per_pair]) for j in (0, 1))
+        p, places = (count - DISCOUNT * of_tables / samples) / (STRENGTH + n[context]), PLACE * (vocabulary + 1)
+        for s in range(samples):
+            c, t = (customers, tables) if not s else (customers + more[2 * s - 2], tables + more[2 * s - 1])
+            root = (c + PLACE) / (totals[s] + places)
+            p += ((STRENGTH + DISCOUNT * t) / (STRENGTH + n))[context] * root[word] / samples
+        at = np.cumsum(long) - long
+        known = n[index].astype(np.float64)
         add = lambda x: np.add.reduceat(x, at)  # noqa: E731  every text has a token
         return pd.DataFrame({
-            "doc_id": pd.array(pdf["ids"].iloc[0], dtype=object), "held_out": held.astype(bool), "n_tokens": long.astype(np.int64), "n_known": add((c > 0).astype(np.int64)), "train_tokens": total,
-            "base_score": add(np.log10(c + 1)) - long * np.log10(total + vocabulary + 1.0), "score": add(log10[of].astype(np.float64)),
+            "doc_id": pd.array(mine["ids"], dtype=object), "held_out": held.astype(bool), "n_tokens": long, "n_known": add((known > 0).astype(np.int64)), "train_tokens": train_tokens,
+            "base_score": add(np.log10(known + 1)) - long * np.log10(train_tokens + vocabulary + 1.0), "score": add(np.log10(p)[of]),
         })
 
-    both = texts.select("block", "shard", "body", "ids").unionByName(answers.withColumn("ids", F.lit(None).cast(f"array<{id_type.simpleString()}>")))
+    sums = [int(x.select(F.col("body")).mapInArrow(_customers, "n long").agg(F.sum("n")).first()[0] or 0) for x in taken]
+    totals = [first_customers + x for x in sums]
+    both = texts.select("block", "kind", "shard", "body", "ids").unionByName(answers.withColumn("ids", F.lit(None).cast(f"array<{id_type.simpleString()}>")))
     return both.groupBy("block").applyInPandas(finish, out_schema)
 
 
+def _customers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the words' values in each message."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(unpack(x)[1].astype(np.int64).sum()) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return common.fold(doc_id, 7) == 2
 
