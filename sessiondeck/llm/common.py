@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,6 +34,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """cut(), dealt by keys to n partitions, so that groups and joins by these keys read them without a further shuffle.
+
+    Adaptive plans don't tell how their rows lie, so this one isn't.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(n, *keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):  # the last job's objects go with the job after it
+        gc.collect()
+        spark.range(1).count()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

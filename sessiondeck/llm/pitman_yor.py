@@ -45,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, vec
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 22
 SHARD_BYTES = 16 << 20
 DISCOUNT = 0.5  # the draws' closed form holds for this one
 STRENGTH, PLACE = 0.5, 2.0
@@ -243,7 +243,10 @@ class Block:
         for q in range(shards):
             if cut[q] < cut[q + 1]:
                 yield "tokens", q, pack(gaps(vocabulary[cut[q] : cut[q + 1]]), _counts(known[cut[q] : cut[q + 1]])), 0
-        yield "texts", STATE, pack(gaps(vocabulary), index.astype(np.uint32), long.astype(np.uint32), held), int(train.sum())
+        often = np.argsort(-np.bincount(index, minlength=size), kind="stable")  # frequent tokens get small numbers, which pack well
+        rank = np.empty(size, np.int64)
+        rank[often] = np.arange(size)
+        yield "texts", STATE, pack(gaps(vocabulary), rank.astype(np.uint32), rank[index].astype(np.uint32), _counts(long), held), int(train.sum())
         pair, of = pairs_of(index, long, start, size)
         trained = np.bincount(of[train], minlength=len(pair))
         pair_word, pair_context = pair // size, pair % size
@@ -258,15 +261,19 @@ class Block:
 
 def pack_pairs(hashes: np.ndarray, word: np.ndarray, context: np.ndarray, *values: np.ndarray) -> bytes:
     """Pairs in order of word and context, as places in hashes, with their values."""
-    words, n = np.unique(word, return_counts=True)
-    contexts, at = np.unique(context, return_inverse=True)
-    return pack(gaps(hashes[words]), _counts(n), gaps(hashes[contexts]), at.astype(np.uint32), *values)
+    used = np.unique(np.concatenate([word, context]))
+    place = np.zeros(len(hashes), np.uint32)
+    place[used] = np.arange(len(used))
+    return pack(gaps(hashes[used]), _counts(np.bincount(place[word], minlength=len(used))), place[context], *values)
 
 
 def unpack_pairs(blob: bytes) -> tuple[np.ndarray, ...]:
     """Words' and contexts' hashes, the pairs as places in them, and their values."""
-    gap, n, context_gap, at, *values = unpack(blob)
-    return ungap(gap), ungap(context_gap), np.repeat(np.arange(len(gap)), n), at.astype(np.int64), *values
+    gap, n, at, *values = unpack(blob)
+    hashes, words, contexts = ungap(gap), np.flatnonzero(n), np.unique(at)
+    place = np.zeros(len(hashes), np.int64)
+    place[contexts] = np.arange(len(contexts))
+    return hashes[words], hashes[contexts], np.repeat(np.arange(len(words)), n[words]), place[at], *values
 
 
 def merge(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -339,7 +346,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
 
         def told() -> Iterator[pa.RecordBatch]:
             for kind, p, body, trained in block.told(shards):
-                row = number, kind, p, body, block.ids if kind == "texts" else None, trained
+                row = number, kind, number % shards if kind == "texts" else p, body, block.ids if kind == "texts" else None, trained  # texts are dealt out only to lie somewhere
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds.values(), strict=True)], list(kinds))
 
         for batch in batches:
@@ -351,9 +358,10 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
         if block.n:
             yield from told()
 
-    blocks = common.cut(rows.mapInArrow(read, f"block long, kind string, shard int, body binary, {ids_schema}, trained long"))
+    blocks = common.cut_by(rows.mapInArrow(read, f"block long, kind string, shard int, body binary, {ids_schema}, trained long"), max(common.partitions(spark), 2 * shards), "shard")
     texts, of_tokens, of_pairs = (blocks.where(F.col("kind") == k) for k in ("texts", "tokens", "pairs"))
     train_tokens = int(texts.agg(F.sum("trained")).first()[0] or 0)
+    common.free(spark)  # the shuffle's files go: what follows reads the blocks where they lie, by shard
     message = "shard int, part int, body binary"
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -368,24 +376,22 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
         told = messages(shards, words, np.bincount(word[seen], minlength=len(words)), contexts, np.bincount(context[seen], minlength=len(contexts)))
         return frame([(p, STATE, state), *((q, p, body) for q, body in told)])
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(counted: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """A home's tokens, from the blocks' counts and the shards'; its words and their customers at the parent, in which each pair has one table."""
-        of_block = pdf["part"] == STATE
-        counted, told = [unpack(x) for x in pdf.loc[of_block, "body"]], [unpack(x) for x in pdf.loc[~of_block, "body"]]
+        counted, bodies = [unpack(x) for x in counted["body"]], [unpack(x) for x in told["body"]]
         hashes = np.unique(np.concatenate([ungap(x[0]) for x in counted]))
         n = summed([ungap(x[0]) for x in counted], [x[1] for x in counted], hashes)
-        word, context = (summed([ungap(x[j]) for x in told], [x[j + 1] for x in told], hashes) for j in (0, 2))
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "part": STATE, "body": [pack(gaps(hashes), _counts(n), _counts(word), _counts(context))], "words": int((word > 0).sum()), "customers": int(word.sum())})
+        word, context = (summed([ungap(x[j]) for x in bodies], [x[j + 1] for x in bodies], hashes) for j in (0, 2))
+        return pd.DataFrame({"shard": told["shard"].iloc[:1], "part": STATE, "body": [pack(gaps(hashes), _counts(n), _counts(word), _counts(context))], "words": int((word > 0).sum()), "customers": int(word.sum())})
 
     gathered = common.cut(of_pairs.groupBy("shard").applyInPandas(gather, message))
     states = gathered.where(F.col("part") == STATE)
-    counted = of_tokens.select("shard", F.lit(STATE).alias("part"), "body").unionByName(gathered.where(F.col("part") != STATE))
-    homes = common.cut(counted.groupBy("shard").applyInPandas(settle, f"{message}, words long, customers long"))
+    homes = common.cut(of_tokens.groupBy("shard").cogroup(gathered.where(F.col("part") != STATE).groupBy("shard")).applyInPandas(settle, f"{message}, words long, customers long"))
     vocabulary, first_customers = (int(x or 0) for x in homes.agg(F.sum("words"), F.sum("customers")).first())
     homes = homes.select("shard", "part", "body")
 
     def reply(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-        """To each shard, in its own order: its words' customers at the parent and its contexts' tables, over all shards. To all: the home's sum of weights."""
+        """To each shard, in its own order: its words' customers at the parent and its contexts' tables, over all shards. Besides, the home's sum of weights, and after a sample its totals."""
         home, told = Home(pdf.loc[pdf["part"] == STATE, "body"].iloc[0]), pdf[pdf["part"] != STATE]
         bodies = [unpack(x) for x in told["body"]]
         customers, in_context = home.totals(bodies)
@@ -393,8 +399,8 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
         total = int(weights(customers[words], home.hashes[words], k).sum())
         back = [pack(_counts(customers[np.searchsorted(home.hashes, ungap(x[0]))]), _counts(in_context[np.searchsorted(home.hashes, ungap(x[2]))])) for x in bodies]
         q = int(pdf["shard"].iloc[0])
-        out = pd.DataFrame([(int(p), q, body, 0) for p, body in zip(told["part"], back, strict=True)] + [(q, STATE, None, total)], columns=["shard", "part", "body", "weight"])
-        return out
+        kept = pack(_counts(customers), _counts(in_context)) if k > burn_in else None
+        return pd.DataFrame([(int(p), q, body, 0) for p, body in zip(told["part"], back, strict=True)] + [(q, STATE, kept, total)], columns=["shard", "part", "body", "weight"])
 
     def parts(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
         return unpack_pairs(pdf.loc[pdf["part"] == STATE, "body"].iloc[0])
@@ -420,60 +426,58 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
         return frame([(p, STATE, state), *told_of(p, words, contexts, word, context, tables)])
 
     told = states.groupBy("shard").applyInPandas(begin, message)
-    taken, customers_at = [], []  # the shards' messages of each sample
+    del gathered
+    taken = []  # the homes' totals of each sample but the last
     for k in range(burn_in + samples):
+        common.free(spark)
         replies = common.cut(homes.unionByName(told).groupBy("shard").applyInPandas(bound(reply, k), f"{message}, weight long"))
         total = int(replies.agg(F.sum("weight")).first()[0] or 0) + unseen_weight(k)
+        if k > burn_in:
+            taken.append(replies.where(F.col("part") == STATE).select("shard", "body"))
         both = states.unionByName(replies.where(F.col("part") != STATE).select("shard", "part", "body"))
         out = common.cut(both.groupBy("shard").applyInPandas(bound(sweep, k, total), message))
         states, told = out.where(F.col("part") == STATE), out.where(F.col("part") != STATE)
-        spark._jvm.System.gc()  # what earlier sweeps have left on disk goes
-        if k >= burn_in:
-            taken.append(told)
+        del replies, both, out
 
-    def finally_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
+    def finally_tokens(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """To each block: its tokens' training counts, and their customers at the parent and tables in each sample, after the first as differences."""
-        home, sums = Home(pdf.loc[pdf["sample"] == STATE, "body"].iloc[0]), []
-        for s in range(samples):
-            sums.append(home.totals([unpack(x) for x in pdf.loc[pdf["sample"] == s, "body"]]))
-        asked = pdf[pdf["block"].notna()]
-        out = []
+        home, out = Home(known.loc[known["sample"] == STATE, "body"].iloc[0]), []
+        sums = [tuple(x.astype(np.int64) for x in unpack(known.loc[known["sample"] == s, "body"].iloc[0])) for s in range(samples - 1)]
+        sums.append(home.totals([unpack(x) for x in known.loc[known["sample"] == samples - 1, "body"]]))
         for body in asked["body"]:
             at = np.searchsorted(home.hashes, ungap(unpack(body)[0]))
             out.append(pack(home.n[at], *(_counts(sums[0][j][at]) for j in (0, 1)), *((sums[s][j][at] - sums[0][j][at]).astype(np.int32) for s in range(1, samples) for j in (0, 1))))
-        return pd.DataFrame({"block": asked["block"].astype(np.int64).to_numpy(), "kind": "tokens", "shard": asked["shard"].to_numpy(), "body": out})
+        return pd.DataFrame({"block": asked["block"], "kind": "tokens", "shard": asked["shard"], "body": out})
 
-    def finally_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    def finally_pairs(asked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         """To each block: its pairs' training counts, and their tables summed over the samples."""
-        asked = pdf[pdf["block"].notna()].sort_values("block")
-        places, words, contexts, word, context, n = merge(asked["body"].tolist())
+        asked = asked.sort_values("block")
+        places, _, _, _, _, n = merge(asked["body"].tolist())
         tables = np.minimum(n, 1) * samples
-        many = np.flatnonzero(n > 1)  # in the state's order
-        if len(many):
-            tables[many] = unpack(pdf.loc[pdf["block"].isna(), "body"].iloc[0])[5]
-        return pd.DataFrame({"block": asked["block"].astype(np.int64).to_numpy(), "kind": "pairs", "shard": asked["shard"].to_numpy(), "body": [pack(_counts(n[k]), _counts(tables[k])) for k in places]})
-
-    nothing = F.lit(None).cast("long")
-    final_homes = homes.select("shard", "body", F.lit(STATE).alias("sample"), nothing.alias("block"))
-    for s, x in enumerate(taken):
-        final_homes = final_homes.unionByName(x.select("shard", "body", F.lit(s).alias("sample"), nothing.alias("block")))
-    final_homes = final_homes.unionByName(of_tokens.select("shard", "body", F.lit(samples).alias("sample"), "block"))
-    final_pairs = states.select("shard", "body", nothing.alias("block")).unionByName(of_pairs.select("shard", "body", "block"))
+        tables[n > 1] = unpack(state["body"].iloc[0])[4]  # in the state's order
+        return pd.DataFrame({"block": asked["block"], "kind": "pairs", "shard": asked["shard"], "body": [pack(_counts(n[k]), _counts(tables[k])) for k in places]})
+
+    common.free(spark)
+    known = homes.select("shard", "body", F.lit(STATE).alias("sample"))
+    for s, x in enumerate([*taken, told]):
+        known = known.unionByName(x.select("shard", "body", F.lit(s).alias("sample")))
     answer = "block long, kind string, shard int, body binary"
-    answers = final_homes.groupBy("shard").applyInPandas(finally_tokens, answer).unionByName(final_pairs.groupBy("shard").applyInPandas(finally_pairs, answer))
+    for_tokens = of_tokens.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(finally_tokens, answer)
+    for_pairs = of_pairs.groupBy("shard").cogroup(states.groupBy("shard")).applyInPandas(finally_pairs, answer)
+    answers = for_tokens.unionByName(for_pairs)
     out_schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["kind"] == "texts"].iloc[0]
-        gap, index, long, held = unpack(mine["body"])
-        hashes, index, long = ungap(gap), index.astype(np.int64), long.astype(np.int64)
-        per_token = [unpack(x) for x in pdf[pdf["kind"] == "tokens"].sort_values("shard")["body"]]
+    def scored(mine: pd.Series, answers: pd.DataFrame) -> pd.DataFrame:
+        gap, rank, index, long, held = unpack(mine["body"])
+        hashes, long = ungap(gap), long.astype(np.int64)
+        index = np.argsort(rank)[index]
+        per_token = [unpack(x) for x in answers[answers["kind"] == "tokens"].sort_values("shard")["body"]]
         n, customers, tables, *more = (np.concatenate([x[j] for x in per_token]).astype(np.int64) for j in range(1 + 2 * samples))
         start, size = int(np.searchsorted(hashes, START)), len(hashes)
         pair, of = pairs_of(index, long, start, size)
         word, context = pair // size, pair % size
         order = np.argsort(pair_shards(hashes[word], hashes[context], shards), kind="stable")
-        per_pair = [unpack(x) for x in pdf[pdf["kind"] == "pairs"].sort_values("shard")["body"]]
+        per_pair = [unpack(x) for x in answers[answers["kind"] == "pairs"].sort_values("shard")["body"]]
         count, of_tables = np.empty(len(pair)), np.empty(len(pair))
         count[order], of_tables[order] = (np.concatenate([x[j] for x in per_pair]) for j in (0, 1))
         p, places = (count - DISCOUNT * of_tables / samples) / (STRENGTH + n[context]), PLACE * (vocabulary + 1)
@@ -489,16 +493,22 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
             "base_score": add(np.log10(known + 1)) - long * np.log10(train_tokens + vocabulary + 1.0), "score": add(np.log10(p)[of]),
         })
 
-    sums = [int(x.select(F.col("body")).mapInArrow(_customers, "n long").agg(F.sum("n")).first()[0] or 0) for x in taken]
-    totals = [first_customers + x for x in sums]
-    both = texts.select("block", "kind", "shard", "body", "ids").unionByName(answers.withColumn("ids", F.lit(None).cast(f"array<{id_type.simpleString()}>")))
-    return both.groupBy("block").applyInPandas(finish, out_schema)
+    def finish(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """The blocks that lie in one place; mostly one."""
+        return pd.concat([scored(x, answers[answers["block"] == x["block"]]) for _, x in mine.iterrows()])
+
+    first = [x.mapInArrow(_customers, "n long").agg(F.sum("n")).first()[0] for x in (*(x.select("body", F.lit(0).alias("told")) for x in taken), told.select("body", F.lit(1).alias("told")))]
+    totals = [int(x or 0) for x in first]
+    totals[-1] += first_customers
+    placed = answers.withColumn("place", F.pmod(F.col("block"), F.lit(shards)).cast("int"))
+    return texts.groupBy("shard").cogroup(placed.groupBy("place")).applyInPandas(finish, out_schema)
 
 
 def _customers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of the words' values in each message."""
+    """The sum of the words' values in each row: of a home's totals, or (told) of a shard's message, in which tokens come before."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(unpack(x)[1].astype(np.int64).sum()) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
+        bodies, told = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([int(unpack(x)[k].astype(np.int64).sum()) for x, k in zip(bodies, told, strict=True)], pa.int64())], ["n"])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
