@@ -1,17 +1,21 @@
 """SimHash near-dedup with vantage-point trees.
 
-A fingerprint has 64 bits; two within `threshold` differing bits are linked. Its bits are cut into threshold + 1 blocks:
-linked fingerprints agree in at least one block. For each block there is a vantage-point tree over the block's Hamming
-distances: a node sends a fingerprint to the child of its distance to the node's vantage point, and since |d(x,v) - d(y,v)|
-<= d(x,y) = 0 for the pairs sought there, all other children are pruned and no branch overlaps. The path through the
-levels is the leaf. A leaf of more than `leaf_rows` fingerprints is split further by their distance on all bits to two
-vantage points of its own, where the radius is `threshold`: a fingerprint goes to its ring and to each ring that the radius
-around it reaches, so that the shards overlap at their boundaries and no pair is lost. Within a leaf the distances are
-computed exactly and each member is linked to the smallest one it reaches there, so that links stay linear in the
-members. Links become components by rounds over the edge list.
-
-With one tree over all bits and the same radius, as the plain method has it, distances of unlike texts crowd around 32 and
-a ball of radius 3 meets four fifths of the branches at each level; the blocks make the radius 0.
+A fingerprint has 64 bits; two within `threshold` differing bits are linked. With one tree over all bits the distances of
+unlike fingerprints crowd around 32, and at each node the boundary of width 3 holds some 29 % of them. So the bits are cut
+into two halves: linked fingerprints differ by `threshold // 2` bits at most in one of them. Each half has a vantage-point tree
+over the distances of that half's bits, in which the radius sought is 1 and the boundary holds 14 %. A node has a vantage
+point, one of its own fingerprints, and the median of their distances to it as radius r: what is at r or nearer goes inside,
+the rest outside, and by the triangle inequality a fingerprint outside has a partner inside only if it is at r + 1 at most:
+those are guests of the inside too. All other branches are pruned, and no pair is lost.
+
+The upper levels are built on the driver from a sample of at most `SAMPLE` fingerprints, down to shards of an estimated
+`SHARD_ROWS` (more where that would make over `SAMPLE / 64` of them), and sent to all tasks: 20 bytes for each shard. Every
+fingerprint goes down this tree and to each shard that it reaches, guests included. A task then builds the lower levels of a
+shard from its own fingerprints, down to leaves of `LEAF_ROWS`, in which all distances over all bits are computed. So the
+sample decides on the shards' sizes only. A leaf that no vantage point divides holds fingerprints that are nearly equal in that half:
+there each member is expanded once, against those that aren't reached yet. Each member is linked to the smallest one that a
+chain of near ones connects it with there, so that links stay linear in the members. Links become components by rounds over the edge list.
+Of random fingerprints, 57 % go to each child, so the comparisons grow as N ** 1.23, where all pairs grow as N ** 2.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; equal
 fingerprints are one node; rows that repeat get the same component each; a null doc_id can be in a component but doesn't
@@ -21,6 +25,7 @@ name one unless all in it are null; other columns stay (but fingerprint and comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from . import common, graph, vec
 
 SHINGLE, SEED, THRESHOLD, BITS = 3, 42, 3, 64
-#: Vantage points of a block's tree; with 8 levels of some 10 distances nearly every value of 16 bits has a leaf.
-LEVELS, LEAF_ROWS, SMALL = 8, 4096, 48
+HALVES = 2
+SAMPLE, SHARD_ROWS, LEAF_ROWS = 1 << 17, 1 << 15, 48
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -69,13 +74,84 @@ def hex_of(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def vantage_points(levels: int = LEVELS) -> list[int]:
-    """Fixed ones, so that a fingerprint's path never depends on the others."""
-    return [xxhash.xxh64_intdigest(str(i), SEED) for i in range(levels)]
+class Tree(NamedTuple):
+    """Inner nodes; a child below 0 is the shard of number -1 - child."""
+
+    mask: int  # the half's bits
+    reach: int  # how far partners are in these bits
+    point: np.ndarray
+    radius: np.ndarray
+    inside: np.ndarray
+    outside: np.ndarray
+
+
+def halves(threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """Mask and reach of each half."""
+    cuts = [BITS * i // HALVES for i in range(HALVES + 1)]
+    return [((1 << hi) - (1 << lo), threshold // HALVES) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def divide(fp: np.ndarray, mask: int, reach: int) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+    """Vantage point, radius, and who goes inside (guests too) and outside; None if no few points divide them."""
+    bits = fp & np.uint64(mask)
+    for k in range(3):  # the first, the middle and the last one
+        v = bits[(len(fp) - 1) * k // 2]
+        d = np.bitwise_count(bits ^ v).astype(np.int64)
+        near = np.bincount(d, minlength=65)
+        up_to = np.cumsum(near)
+        guests = up_to[np.minimum(np.arange(65) + reach, 64)]
+        r = int(np.argmin(np.maximum(guests, len(fp) - up_to)))  # the smaller the larger child, the better; about the median
+        if max(int(guests[r]), len(fp) - int(up_to[r])) <= 0.95 * len(fp):
+            return int(v), r, d <= r + reach, d > r
+    return None
+
+
+def build(sample: np.ndarray, mask: int, reach: int, rows: float) -> Tree:
+    """The upper levels, down to shards of `rows` of the sample."""
+    nodes: list[list[int]] = []
+    shards, stack = 0, [(sample, -1, 0)]
+    while stack:
+        own, parent, side = stack.pop()
+        cut = divide(own, mask, reach) if len(own) > rows else None
+        here = len(nodes) if cut else -1 - shards
+        if parent >= 0:
+            nodes[parent][side] = here
+        if cut:
+            v, r, inside, outside = cut
+            nodes.append([v, r, 0, 0])
+            stack += [(own[inside], here, 2), (own[outside], here, 3)]
+        else:
+            shards += 1
+    columns = list(zip(*nodes, strict=True)) or [()] * 4
+    return Tree(mask, reach, np.array(columns[0], np.uint64), *(np.array(x, np.int64) for x in columns[1:]))
+
+
+def shards_of(tree: Tree, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Who goes where: places in fp, and shards; a place for each shard that it reaches."""
+    at, node, out = np.arange(len(fp)), np.zeros(len(fp), np.int64), []
+    if not len(tree.point):
+        return at, node
+    while len(at):
+        d = np.bitwise_count((fp[at] & np.uint64(tree.mask)) ^ tree.point[node]).astype(np.int64)
+        inside, outside = d <= tree.radius[node] + tree.reach, d > tree.radius[node]
+        at, node = np.concatenate([at[inside], at[outside]]), np.concatenate([tree.inside[node[inside]], tree.outside[node[outside]]])
+        done = node < 0
+        out.append((at[done], -1 - node[done]))
+        at, node = at[~done], node[~done]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def leaves(fp: np.ndarray, mask: int, reach: int, rows: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The lower levels of one shard: leaf and fingerprint, sorted by leaf, guests included."""
+    out, stack = [], [fp]
+    while stack:
+        own = stack.pop()
+        cut = divide(own, mask, reach) if len(own) > rows else None
+        if cut:
+            stack += [own[cut[2]], own[cut[3]]]
+        else:
+            out.append(own)
+    return np.repeat(np.arange(len(out)), [len(x) for x in out]), np.concatenate([fp[:0], *out])
 
 
 def leaf_edges(leaf: np.ndarray, fp: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +164,8 @@ def leaf_edges(leaf: np.ndarray, fp: np.ndarray, threshold: int = THRESHOLD) ->
     row_size = np.repeat(size, size)
     label = np.arange(n)
     near_a, near_b = [], []
-    for k in range(1, min(SMALL, int(size.max()))):
-        i = np.flatnonzero((leaf[k:] == leaf[:-k]) & (row_size[k:] <= SMALL))
+    for k in range(1, min(LEAF_ROWS, int(size.max()))):
+        i = np.flatnonzero((leaf[k:] == leaf[:-k]) & (row_size[k:] <= LEAF_ROWS))
         i = i[np.bitwise_count(fp[i] ^ fp[i + k]) <= threshold]
         near_a.append(i)
         near_b.append(i + k)
@@ -102,7 +178,7 @@ def leaf_edges(leaf: np.ndarray, fp: np.ndarray, threshold: int = THRESHOLD) ->
             label = label[label]
             if (before == label).all():
                 break
-    for s, m in zip(begin[size > SMALL], size[size > SMALL], strict=True):
+    for s, m in zip(begin[size > LEAF_ROWS], size[size > LEAF_ROWS], strict=True):
         own, left = fp[s : s + m], np.arange(m)
         while len(left):  # what isn't reached yet; each member is expanded once, against those only
             root, queue, left = left[0], [left[0]], left[1:]
@@ -116,46 +192,42 @@ def leaf_edges(leaf: np.ndarray, fp: np.ndarray, threshold: int = THRESHOLD) ->
     return fp[linked], fp[label[linked]]
 
 
-def links(nodes: DataFrame, threshold: int = THRESHOLD, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """a, b: edges that connect what chains of near fingerprints connect. nodes: distinct `fp`."""
-    blocks = threshold + 1
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    points = vantage_points()
-    trees = []
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        mask = _signed((1 << hi) - (1 << lo))
-        path = F.lit(0).cast("long")
-        for v in points:  # at most 64 of a block differ: 7 bits a level
-            path = path * F.lit(67) + F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(v))).bitwiseAND(F.lit(mask)))
-        trees.append(F.struct(F.lit(lo).alias("tree"), path.alias("leaf")))
-    placed = nodes.select("fp", F.inline(F.array(*trees)))
-    large = placed.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.min("fp").alias("v1"), F.max("fp").alias("v2")).where(F.col("n") > leaf_rows).drop("n")
-    width = threshold + 1
-
-    def rings(v: str) -> Column:
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.col(v)))
-        ring = lambda x: F.floor(x / F.lit(width)).cast("int")
-        return F.when(F.col(v).isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(F.array(ring(d), ring(F.greatest(d - threshold, F.lit(0))), ring(d + threshold))))
-
-    sharded = placed.join(large, ["tree", "leaf"], "left").select("fp", "tree", "leaf", F.explode(rings("v1")).alias("r1"), "v2").select("fp", "tree", "leaf", "r1", F.explode(rings("v2")).alias("r2"))
-    key = F.xxhash64("tree", "leaf", "r1", "r2")  # two shards that share a hash are compared too; that adds no false link
-    dealt = sharded.select(key.alias("shard"), "fp").repartition(common.partitions(nodes.sparkSession), "shard").sortWithinPartitions("shard", "fp")
+def links(nodes: DataFrame, threshold: int = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """a, b: edges that connect what chains of near fingerprints connect. nodes: distinct `fp`, read several times."""
+    spark, n = nodes.sparkSession, nodes.count()
+    place = F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1 << 30))
+    drawn = nodes.where(place < F.lit(int((1 << 30) * min(1.0, SAMPLE / 2 / max(n, 1))))).select("fp").orderBy(place, "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    target = max(shard_rows, n // (SAMPLE // 64)) * len(drawn) / max(n, 1)
+    trees = [build(drawn, mask, reach, target) for mask, reach in halves(threshold)]
+    sent = spark.sparkContext.broadcast(trees)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for k, tree in enumerate(sent.value):
+                at, shard = shards_of(tree, fp)
+                yield pa.RecordBatch.from_arrays([pa.array(shard * HALVES + k), pa.array(fp[at].view(np.int64))], ["shard", "fp"])
+
+    dealt = nodes.select("fp").mapInArrow(deal, "shard long, fp long").repartition(common.partitions(spark), "shard").sortWithinPartitions("shard", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_s, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-        def told(s: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = leaf_edges(s, f, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        def told(s: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.diff(s, prepend=-1, append=-1)) if len(s) else []
+            for x, y in zip(edge, edge[1:], strict=False):
+                mask, reach = halves(threshold)[int(s[x]) % HALVES]
+                a, b = leaf_edges(*leaves(f[x:y], mask, reach), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             held_s = np.concatenate([held_s, batch.column(0).to_numpy()])
             held_f = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
             whole = int(np.searchsorted(held_s, held_s[-1])) if len(held_s) else 0
-            if whole >= 1 << 16:
-                yield told(held_s[:whole], held_f[:whole])
+            if whole:
+                yield from told(held_s[:whole], held_f[:whole])
                 held_s, held_f = held_s[whole:], held_f[whole:]
-        yield told(held_s, held_f)
+        yield from told(held_s, held_f)
 
     return dealt.mapInArrow(compare, "a long, b long")
 
