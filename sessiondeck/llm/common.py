@@ -48,13 +48,18 @@ def cut_by(df: DataFrame, n: int, *keys: str) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
-    for _ in range(2):  # the last job's objects go with the job after it
-        gc.collect()
+def free(spark: SparkSession, wait: float = 0.0) -> None:
+    """Lets Spark remove the shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage.
+
+    wait: seconds for what the last job still holds, which goes with the job after it.
+    """
+    gc.collect()
+    if wait:
         spark.range(1).count()
+    spark._jvm.System.gc()
+    if wait:
+        time.sleep(wait)
         spark._jvm.System.gc()
-        time.sleep(0.2)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -46,7 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import common, vec
 
 BLOCK_TOKENS = 1 << 22
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 64 << 20
 DISCOUNT = 0.5  # the draws' closed form holds for this one
 STRENGTH, PLACE = 0.5, 2.0
 BURN_IN, SAMPLES = 2, 3
@@ -198,14 +198,6 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(n + 1)
 
 
-def pairs_of(index: np.ndarray, long: np.ndarray, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of some texts as word * size + context, in order, and each token's place among them."""
-    before = np.empty_like(index)
-    before[1:] = index[:-1]
-    before[np.cumsum(long) - long] = start
-    return np.unique(index * size + before, return_inverse=True)
-
-
 def pair_shards(word: np.ndarray, context: np.ndarray, shards: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return ((vec.mix(word * _GOLDEN + context) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -231,32 +223,50 @@ class Block:
         self.held.append(part.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
         self.n += len(word)
 
-    def told(self, shards: int) -> Iterator[tuple[str, int, bytes, int]]:
-        """What each shard is told of pairs and each home of tokens, and the texts, as numbers of tokens."""
+    def packed(self) -> tuple[bytes, int]:
+        """The texts as numbers of tokens, and the number of training tokens. Frequent tokens have small numbers, which pack well."""
         word, long, held = (np.concatenate(x) for x in (self.word, self.long, self.held))
         vocabulary, index = np.unique(np.append(word, START), return_inverse=True)
-        start, index, size = int(index[-1]), index[:-1], len(vocabulary)
-        train = np.repeat(~held, long)
-        known = np.bincount(index[train], minlength=size)
-        known[start] = int((~held).sum())  # customers of the context
+        often = np.argsort(-np.bincount(index, minlength=len(vocabulary)), kind="stable")
+        rank = np.empty(len(vocabulary), np.uint32)
+        rank[often] = np.arange(len(vocabulary))
+        return pack(gaps(vocabulary), rank, rank[index[:-1]], _counts(long), held), int(long[~held].sum())
+
+
+class Texts:
+    """A block, unpacked: its vocabulary, its texts as places in it, and its distinct pairs (`pair_word`, `pair_context`) with each token's place among them (`of`)."""
+
+    def __init__(self, body: bytes) -> None:
+        gap, rank, index, long, self.held = unpack(body)
+        self.vocabulary, self.long = ungap(gap), long.astype(np.int64)
+        self.index, self.start, size = np.argsort(rank)[index], int(np.searchsorted(self.vocabulary, START)), len(gap)
+        before = np.empty_like(self.index)
+        before[1:] = self.index[:-1]
+        before[np.cumsum(self.long) - self.long] = self.start
+        pair, self.of = np.unique(self.index * size + before, return_inverse=True)
+        self.pair_word, self.pair_context = pair // size, pair % size
+
+    def dealt(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in order of their shards, and where each shard's begin."""
+        shard = pair_shards(self.vocabulary[self.pair_word], self.vocabulary[self.pair_context], shards)
+        order = np.argsort(shard, kind="stable")
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+    def told(self, shards: int) -> Iterator[tuple[str, int, bytes]]:
+        """What each home is told of tokens and each shard of pairs: training counts."""
+        vocabulary, train = self.vocabulary, np.repeat(~self.held, self.long)
+        known = np.bincount(self.index[train], minlength=len(vocabulary))
+        known[self.start] = int((~self.held).sum())  # customers of the context
         cut = home_cuts(vocabulary, shards)
         for q in range(shards):
             if cut[q] < cut[q + 1]:
-                yield "tokens", q, pack(gaps(vocabulary[cut[q] : cut[q + 1]]), _counts(known[cut[q] : cut[q + 1]])), 0
-        often = np.argsort(-np.bincount(index, minlength=size), kind="stable")  # frequent tokens get small numbers, which pack well
-        rank = np.empty(size, np.int64)
-        rank[often] = np.arange(size)
-        yield "texts", STATE, pack(gaps(vocabulary), rank.astype(np.uint32), rank[index].astype(np.uint32), _counts(long), held), int(train.sum())
-        pair, of = pairs_of(index, long, start, size)
-        trained = np.bincount(of[train], minlength=len(pair))
-        pair_word, pair_context = pair // size, pair % size
-        shard = pair_shards(vocabulary[pair_word], vocabulary[pair_context], shards)
-        order = np.argsort(shard, kind="stable")
-        bound = np.searchsorted(shard[order], np.arange(shards + 1))
+                yield "tokens", q, pack(gaps(vocabulary[cut[q] : cut[q + 1]]), _counts(known[cut[q] : cut[q + 1]]))
+        trained = np.bincount(self.of[train], minlength=len(self.pair_word))
+        order, bound = self.dealt(shards)
         for p in range(shards):
             some = order[bound[p] : bound[p + 1]]
             if len(some):
-                yield "pairs", p, pack_pairs(vocabulary, pair_word[some], pair_context[some], _counts(trained[some])), 0
+                yield "pairs", p, pack_pairs(vocabulary, self.pair_word[some], self.pair_context[some], _counts(trained[some]))
 
 
 def pack_pairs(hashes: np.ndarray, word: np.ndarray, context: np.ndarray, *values: np.ndarray) -> bytes:
@@ -338,30 +348,35 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
     shards = shards or shards_for(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("held_out", held)
     id_type = docs.schema[doc_id].dataType
-    kinds = {"block": pa.int64(), "kind": pa.string(), "shard": pa.int32(), "body": pa.binary(), "ids": pa.list_(to_arrow_type(id_type)), "trained": pa.int64()}
-    ids_schema = f"ids array<{id_type.simpleString()}>"
+    kinds = {"block": pa.int64(), "body": pa.binary(), "ids": pa.list_(to_arrow_type(id_type)), "trained": pa.int64()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(), TaskContext.get().partitionId() << 32
 
-        def told() -> Iterator[pa.RecordBatch]:
-            for kind, p, body, trained in block.told(shards):
-                row = number, kind, number % shards if kind == "texts" else p, body, block.ids if kind == "texts" else None, trained  # texts are dealt out only to lie somewhere
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds.values(), strict=True)], list(kinds))
+        def told() -> pa.RecordBatch:
+            body, trained = block.packed()
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, body, block.ids, trained), kinds.values(), strict=True)], list(kinds))
 
         for batch in batches:
             for part in vec.slices(batch):
                 block.add(part)
                 if block.n >= block_tokens:
-                    yield from told()
+                    yield told()
                     block, number = Block(), number + 1
         if block.n:
-            yield from told()
+            yield told()
 
-    blocks = common.cut_by(rows.mapInArrow(read, f"block long, kind string, shard int, body binary, {ids_schema}, trained long"), max(common.partitions(spark), 2 * shards), "shard")
-    texts, of_tokens, of_pairs = (blocks.where(F.col("kind") == k) for k in ("texts", "tokens", "pairs"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for kind, p, body in Texts(batch.column("body")[i].as_py()).told(shards):
+                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([kind]), pa.array([p], pa.int32()), pa.array([body], pa.binary())], ["block", "kind", "shard", "body"])
+
+    texts = common.cut(rows.mapInArrow(read, f"block long, body binary, ids array<{id_type.simpleString()}>, trained long"))
+    blocks = common.cut_by(texts.select("block", "body").mapInArrow(deal, "block long, kind string, shard int, body binary"), max(common.partitions(spark), 2 * shards), "shard")
+    of_tokens, of_pairs = (blocks.where(F.col("kind") == k) for k in ("tokens", "pairs"))
     train_tokens = int(texts.agg(F.sum("trained")).first()[0] or 0)
-    common.free(spark)  # the shuffle's files go: what follows reads the blocks where they lie, by shard
+    common.free(spark, wait=0.3)  # the shuffle's files go: what follows reads the blocks where they lie, by shard
     message = "shard int, part int, body binary"
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -467,41 +482,32 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
     answers = for_tokens.unionByName(for_pairs)
     out_schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
-    def scored(mine: pd.Series, answers: pd.DataFrame) -> pd.DataFrame:
-        gap, rank, index, long, held = unpack(mine["body"])
-        hashes, long = ungap(gap), long.astype(np.int64)
-        index = np.argsort(rank)[index]
-        per_token = [unpack(x) for x in answers[answers["kind"] == "tokens"].sort_values("shard")["body"]]
-        n, customers, tables, *more = (np.concatenate([x[j] for x in per_token]).astype(np.int64) for j in range(1 + 2 * samples))
-        start, size = int(np.searchsorted(hashes, START)), len(hashes)
-        pair, of = pairs_of(index, long, start, size)
-        word, context = pair // size, pair % size
-        order = np.argsort(pair_shards(hashes[word], hashes[context], shards), kind="stable")
-        per_pair = [unpack(x) for x in answers[answers["kind"] == "pairs"].sort_values("shard")["body"]]
-        count, of_tables = np.empty(len(pair)), np.empty(len(pair))
-        count[order], of_tables[order] = (np.concatenate([x[j] for x in per_pair]) for j in (0, 1))
-        p, places = (count - DISCOUNT * of_tables / samples) / (STRENGTH + n[context]), PLACE * (vocabulary + 1)
+    def finish(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty:
+            return pd.DataFrame(columns=out_schema.names)
+        x = Texts(mine["body"].iloc[0])
+        per_token = [unpack(y) for y in answers[answers["kind"] == "tokens"].sort_values("shard")["body"]]
+        n, customers, tables, *more = (np.concatenate([y[j] for y in per_token]).astype(np.int64) for j in range(1 + 2 * samples))
+        per_pair = [unpack(y) for y in answers[answers["kind"] == "pairs"].sort_values("shard")["body"]]
+        order, count, of_tables = x.dealt(shards)[0], np.empty(len(x.pair_word)), np.empty(len(x.pair_word))
+        count[order], of_tables[order] = (np.concatenate([y[j] for y in per_pair]) for j in (0, 1))
+        p, places = (count - DISCOUNT * of_tables / samples) / (STRENGTH + n[x.pair_context]), PLACE * (vocabulary + 1)
         for s in range(samples):
             c, t = (customers, tables) if not s else (customers + more[2 * s - 2], tables + more[2 * s - 1])
             root = (c + PLACE) / (totals[s] + places)
-            p += ((STRENGTH + DISCOUNT * t) / (STRENGTH + n))[context] * root[word] / samples
-        at = np.cumsum(long) - long
-        known = n[index].astype(np.float64)
-        add = lambda x: np.add.reduceat(x, at)  # noqa: E731  every text has a token
+            p += ((STRENGTH + DISCOUNT * t) / (STRENGTH + n))[x.pair_context] * root[x.pair_word] / samples
+        at = np.cumsum(x.long) - x.long
+        known = n[x.index].astype(np.float64)
+        add = lambda v: np.add.reduceat(v, at)  # noqa: E731  every text has a token
         return pd.DataFrame({
-            "doc_id": pd.array(mine["ids"], dtype=object), "held_out": held.astype(bool), "n_tokens": long, "n_known": add((known > 0).astype(np.int64)), "train_tokens": train_tokens,
-            "base_score": add(np.log10(known + 1)) - long * np.log10(train_tokens + vocabulary + 1.0), "score": add(np.log10(p)[of]),
+            "doc_id": pd.array(mine["ids"].iloc[0], dtype=object), "held_out": x.held.astype(bool), "n_tokens": x.long, "n_known": add((known > 0).astype(np.int64)), "train_tokens": train_tokens,
+            "base_score": add(np.log10(known + 1)) - x.long * np.log10(train_tokens + vocabulary + 1.0), "score": add(np.log10(p)[x.of]),
         })
 
-    def finish(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """The blocks that lie in one place; mostly one."""
-        return pd.concat([scored(x, answers[answers["block"] == x["block"]]) for _, x in mine.iterrows()])
-
     first = [x.mapInArrow(_customers, "n long").agg(F.sum("n")).first()[0] for x in (*(x.select("body", F.lit(0).alias("told")) for x in taken), told.select("body", F.lit(1).alias("told")))]
     totals = [int(x or 0) for x in first]
     totals[-1] += first_customers
-    placed = answers.withColumn("place", F.pmod(F.col("block"), F.lit(shards)).cast("int"))
-    return texts.groupBy("shard").cogroup(placed.groupBy("place")).applyInPandas(finish, out_schema)
+    return texts.select("block", "body", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, out_schema)
 
 
 def _customers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
