@@ -5,15 +5,19 @@ a number starts with a digit (groups joined by a point, comma or colon are one)
 after digits, is one); a unit is one of UNITS right after a number; a name is a capitalised word, not all capitals, of any
 script that has capitals (a run of them is one). There are two templates: in the first a name must follow a word in the same
 clause, so that the words that begin sentences stay literal; in the second it may stand anywhere, so that names that begin
-a sentence, a line or a quote are slots too, and so are all other words there.
-Windows of `WINDOW` tokens are hashed; the benchmark's windows are the build side of a hash join, in blocks of
-`BLOCK_WINDOWS`, each broadcast by itself, so its size is bounded however long the benchmark is; every document's windows
-probe it. An item is found in a document if at least `SIMILARITY` of its windows are there. Then its slots are checked
+a sentence, a line or a quote are slots too, and so are all other words there. A third form are the bare words, without
+placeholders, so that a copy in capitals, in which no name shows, is found too.
+
+Windows of `WINDOW` tokens of each form are hashed, with the fillers of their slots. The documents are read once: a window goes on
+only if its hash is in a bitmap of the benchmark's (of `2**MAX_BITS` bits at most; where it is full more windows go on, and
+nothing is lost). These are joined to the benchmark's windows by hash. An item is found in a text if at least
+`SIMILARITY` of its windows of one form are there. Then its slots are checked
 where the windows align. Names that were changed must agree: equal names stand for equal names and different for different,
 in `SIMILARITY` of their slots at least, else the find is dropped. Numbers and units are values, which may coincide or vary.
 The find is `verbatim` if all fillers are the item's own; `reparameterised` if equal fillers always stand for equal ones; and
-`altered` if some do not, as in a copy with one number mistyped. Windows of the bare words, without placeholders, are joined
-in the same way, so that a copy in capitals, in which no name shows, is found too (`verbatim`).
+`altered` if some do not, as in a copy with one number mistyped. What the bare words find is `verbatim`.
+
+Texts are known by a 64-bit hash: equal texts of one doc_id are judged once, and reported each.
 
 Defined cases: an item of fewer tokens than a window is one window of all its tokens; windows of placeholders only say
 nothing and aren't used, and an item that has no others is found by its bare words alone; an item or document that is
@@ -29,13 +33,17 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import common, vec
 
 WINDOW, SIMILARITY = 5, 0.8
-BLOCK_WINDOWS = 1 << 20
+#: Of the bitmap: 32 MB at most.
+MIN_BITS, MAX_BITS = 20, 28
+#: The benchmark's windows, and the hashes of texts that go, are broadcast while there are at most so many; else joined by shuffle.
+BROADCAST_WINDOWS, BROADCAST_TEXTS = 200_000, 1_000_000
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs pound pounds ounce ounces oz ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros usd eur gbp meter meters metre metres gram grams kilogram kilograms kilometer kilometers centimeter centimeters degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules newton newtons hz".split()
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 LITERAL, NUMBER, UNIT, NAME = range(4)
@@ -51,19 +59,6 @@ class Form(NamedTuple):
     owner: np.ndarray
 
 
-class Index(NamedTuple):
-    size: int  # tokens in a window
-    hashes: np.ndarray  # sorted
-    item: np.ndarray  # by posting
-    at: np.ndarray
-
-
-class Block(NamedTuple):
-    indexes: list[tuple[int, Index]]  # by form
-    windows: np.ndarray  # by form, of each item
-    slots: list[list[list[tuple[int, int, int]]]]  # by form, of each item: position, kind, filler
-
-
 @lru_cache(maxsize=1)
 def _cases() -> tuple[np.ndarray, np.ndarray]:
     """Whether each code point is a capital, and whether it is a small letter."""
@@ -140,140 +135,159 @@ def windows(code: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int) ->
     return at, h[at]
 
 
-def build(texts: list[str | None], window: int = WINDOW) -> Block:
-    """The index of some items."""
-    found, totals, slots = defaultdict(list), np.zeros((3, len(texts)), np.int64), [[], [], []]
-    for f, t in enumerate(tokens(pa.array(texts, pa.string()))):
-        at = vec.bounds(t.owner, len(texts))
-        for i in range(len(texts)):
-            code, kind, filler = (x[at[i] : at[i + 1]] for x in t[:3])
-            slots[f].append([(int(k), int(kind[k]), int(filler[k])) for k in np.flatnonzero(kind)])
-            size = min(window, len(code))
-            p, h = windows(code, kind, np.zeros(len(code), np.int64), size) if size else (np.zeros(0, np.int64),) * 2
-            totals[f, i] = len(p)
-            if len(p):
-                found[f, size].append((h, np.full(len(p), i), p))
-    indexes = []
-    for (f, size), parts in sorted(found.items()):
-        h, item, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        indexes.append((f, Index(size, h[order], item[order].astype(np.int32), p[order].astype(np.int32))))
-    return Block(indexes, totals, slots)
-
-
-def judge(slots: list[tuple[int, int, int]], shift: int, kind: np.ndarray, filler: np.ndarray, similarity: float) -> int | None:
-    """The place in KINDS of a find, or None if its names don't agree. kind, filler: of the document; shift: its position less the item's."""
-    aligned = [(what, own, int(filler[k + shift])) for k, what, own in slots if 0 <= k + shift < len(kind) and kind[k + shift] == what]
+def window_slots(t: Form, at: np.ndarray, size: int) -> list[list[int]]:
+    """Of each window that begins at these tokens: offset and kind (as one number) and filler of its slots, in turn."""
+    if not len(at):
+        return []
+    kind = np.stack([t.kind[at + j] for j in range(size)], 1)
+    out: list[list[int]] = [[]] * len(at)
+    for i in np.flatnonzero(kind.any(1)):
+        own = [(j * 4 + int(kind[i, j]), int(t.filler[at[i] + j].view(np.int64))) for j in np.flatnonzero(kind[i])]
+        out[i] = [x for pair in own for x in pair]
+    return out
+
+
+def judge(slots: dict[int, tuple[int, int, int]], similarity: float) -> int | None:
+    """The place in KINDS of a find, or None if its names don't agree. slots: kind, own and other filler by the item's token."""
     there, back = defaultdict(Counter), defaultdict(Counter)
-    for what, own, other in aligned:
+    for what, own, other in slots.values():
         there[what, own][other] += 1
         back[what, other][own] += 1
-    if all(own == other for _, own, other in aligned):
+    if all(own == other for _, own, other in slots.values()):
         return 0
     most = lambda counts: max(counts, key=lambda x: (counts[x], x))
     usual, origin = {k: most(c) for k, c in there.items()}, {k: most(c) for k, c in back.items()}
-    names = [(own, other) for what, own, other in aligned if what == NAME and there[what, own].keys() != {own}]
+    names = [(own, other) for what, own, other in slots.values() if what == NAME and there[what, own].keys() != {own}]
     agree = sum(usual[NAME, own] == other and origin[NAME, other] == own for own, other in names)
     if agree < similarity * len(names):
         return None
     return 1 if agree == len(names) and all(len(c) == 1 for c in there.values()) else 2
 
 
-def search(block: Block, texts: pa.Array, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float, int]]:
-    """text, item, matched windows, their share and the place in KINDS, of the items that are found."""
-    out = {}
-    for f, t in enumerate(tokens(texts)):
-        hits = [_hits(t, index) for g, index in block.indexes if g == f]
-        if not hits:
-            continue
-        begin = vec.bounds(t.owner, len(texts))
-        text, item, own, at = np.concatenate(hits, axis=1)
-        order = np.lexsort((at, own, item, text))
-        text, item, own, at = text[order], item[order], own[order], at[order]
-        first = np.ones(len(text), bool)
-        first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-        pair = np.flatnonzero(first)
-        for a, b in zip(pair, np.append(pair[1:], len(text)), strict=False):
-            x, i, n = int(text[a]), int(item[a]), len(np.unique(own[a:b]))
-            share = n / block.windows[f, i]
-            if share < similarity:
-                continue
-            found = 0
-            if f != BARE:
-                lo, hi = begin[x], begin[x + 1]
-                shifts, votes = np.unique(at[a:b] - lo - own[a:b], return_counts=True)
-                told = [judge(block.slots[f][i], int(s), t.kind[lo:hi], t.filler[lo:hi], similarity) for s in shifts[votes == votes.max()]]
-                told = [k for k in told if k is not None]
-                if not told:
-                    continue
-                found = min(told)
-            if (x, i) not in out or found < out[x, i][4]:
-                out[x, i] = (x, i, n, float(share), found)
-    return [out[k] for k in sorted(out)]
-
-
-def _hits(t: Form, index: Index) -> np.ndarray:
-    """text, item, the item's window and the text's, for each window that both hold."""
-    p, h = windows(t.code, t.kind, t.owner, index.size)
-    maybe = np.zeros(1 << 20, bool)
-    maybe[index.hashes >> np.uint64(44)] = True
-    some = np.flatnonzero(maybe[h >> np.uint64(44)])
-    lo = np.searchsorted(index.hashes, h[some], "left")
-    n = np.searchsorted(index.hashes, h[some], "right") - lo
-    ends = np.cumsum(n)
-    posting = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    at = np.repeat(p[some], n)
-    return np.stack([t.owner[at], index.item[posting], index.at[posting], at])
-
-
-def blocks(benchmark: DataFrame, block_windows: int, window: int, text: str, item_id: str) -> Iterator[tuple[list, Block]]:
-    """Ids and index of the items, block by block; only one block is on the driver at a time."""
-    items = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("text"))
-    n = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")).cast("long"))).first()[0] or 0
-    parts = max(1, -(-int(n) // block_windows))
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).orderBy("id").collect()
-        if rows:
-            yield [r["id"] for r in rows], build([r["text"] for r in rows], window)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """doc_id, item_id, n_matched, similarity and kind (of `KINDS`) for each item found in a document."""
-    schema = T.StructType([docs.schema[doc_id], benchmark.schema[item_id], *T.StructType.fromDDL("n_matched long, similarity double, kind string").fields])
-    rows, out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
+def judge_find(own: np.ndarray, at: np.ndarray, own_slots: list, slots: list, similarity: float) -> int | None:
+    """Of one item in one text: the best judgement over the shifts (position in the text less that in the item) of most windows."""
+    shifts, votes = np.unique(at - own, return_counts=True)
+    told = []
+    for shift in shifts[votes == votes.max()]:
+        aligned = {}
+        for i in np.flatnonzero(at - own == shift):
+            x, y = own_slots[i], slots[i]
+            for j in range(0, min(len(x), len(y)), 2):
+                aligned[int(own[i]) + int(x[j]) // 4] = int(x[j]) % 4, int(x[j + 1]), int(y[j + 1])
+        told.append(judge(aligned, similarity))
+    return min((x for x in told if x is not None), default=None)
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """form, size, hash, own (position), own_slots and n_windows of each distinct item's windows, with item_id, item (a hash of its text) and copies."""
+    items = benchmark.where(F.col(text).isNotNull()).groupBy(F.col(item_id).alias("item_id"), F.col(text).alias("text")).agg(F.count("*").alias("copies"))
+    items = items.select("item_id", F.xxhash64("text").alias("item"), "copies", "text")
+    schema = T.StructType([items.schema["item_id"], *T.StructType.fromDDL("item long, copies long, form int, size int, hash long, own int, own_slots array<long>, n_windows int").fields])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in vec.slices(batch):
+                for f, t in enumerate(tokens(part.column("text"))):
+                    begin = vec.bounds(t.owner, part.num_rows)
+                    for size in range(1, window + 1):  # an item shorter than a window is one of its own size
+                        p, h = windows(t.code, t.kind, t.owner, size)
+                        long = np.diff(begin)[t.owner[p]]
+                        some = np.flatnonzero(long == size if size < window else long >= size)
+                        p, h = p[some], h[some]
+                        if not len(p):
+                            continue
+                        of = t.owner[p]
+                        n = np.bincount(of, minlength=part.num_rows)[of]
+                        fixed = [pa.array(np.full(len(p), x), pa.int32()) for x in (f, size)]
+                        yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(of)) for c in ("item_id", "item", "copies")), *fixed, pa.array(h.view(np.int64)), pa.array(p - begin[of], pa.int32()), pa.array(window_slots(t, p, size), pa.list_(pa.int64())), pa.array(n, pa.int32())], schema.names)
+
+    return items.mapInArrow(each, schema)
+
+
+def bitmap(known: DataFrame, n: int) -> np.ndarray:
+    """Bits of the windows' hashes, by their leading bits; combined in Spark, 64 to a row."""
+    width = int(np.clip(np.ceil(np.log2(max(n, 1) * 32)), MIN_BITS, MAX_BITS))
+    slot = F.shiftrightunsigned("hash", 64 - width)
+    rows = known.groupBy(F.shiftright(slot, 6).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(1 << (width - 6), np.uint64)
+    out[rows["k"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def finds(docs: DataFrame, benchmark: DataFrame, keys: list[str], similarity: float, window: int, text: str, item_id: str, shuffled: bool = False) -> DataFrame | None:
+    """keys, text_hash, item_id, item_copies, text_copies, n_matched, similarity and kind (its place) of each item found in each distinct text; None if there are no windows."""
     spark = docs.sparkSession
-    for ids, block in blocks(benchmark, block_windows, window, text, item_id):
-        sent = spark.sparkContext.broadcast((ids, block))
-
-        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, block = sent.value
-            for batch in batches:
-                for part in vec.slices(batch):
-                    found = search(block, part.column("text"), similarity)
-                    if found:
-                        i, k, n, share, kinds = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(i)), pa.array([ids[x] for x in k]), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array([KINDS[x] for x in kinds])], schema.names)
-
-        part = rows.mapInArrow(each, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The rows of docs in which no item is found. Rows are judged where they are read; nothing is shuffled."""
-    spark, at, schema = docs.sparkSession, docs.columns.index(text), docs.schema
-    for _, block in blocks(benchmark, block_windows, window, text, item_id):
-        sent = spark.sparkContext.broadcast(block)
-
-        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                batch = pa.RecordBatch.from_arrays(batch.columns, schema.names)
-                for part in vec.slices(batch, text):
-                    bad = {x[0] for x in search(sent.value, part.column(at), similarity)}
-                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
-
-        docs = docs.mapInArrow(each, schema)
-    return docs
+    known = common.cut(benchmark_windows(benchmark, window, text, item_id))
+    n, sizes = known.count(), [r["size"] for r in known.select("size").distinct().collect()]  # sizes: up to WINDOW
+    if not n:
+        return None
+    sent = spark.sparkContext.broadcast(bitmap(known, n))
+    rows = docs.where(F.col(text).isNotNull()).select(*keys, F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL("form int, size int, hash long, at int, slots array<long>").fields])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        right = np.uint64(64 - int(np.log2(len(bits))) - 6)
+        for batch in batches:
+            for part in vec.slices(batch):
+                for f, t in enumerate(tokens(part.column("text"))):
+                    begin = vec.bounds(t.owner, part.num_rows)
+                    for size in sizes:
+                        p, h = windows(t.code, t.kind, t.owner, size)
+                        slot = h >> right
+                        some = np.flatnonzero(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+                        if not len(some):
+                            continue
+                        p, h = p[some], h[some]
+                        of = t.owner[p]
+                        fixed = [pa.array(np.full(len(p), x), pa.int32()) for x in (f, size)]
+                        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in part.columns[:-1]), *fixed, pa.array(h.view(np.int64)), pa.array(p - begin[of], pa.int32()), pa.array(window_slots(t, p, size), pa.list_(pa.int64()))], schema.names)
+
+    who = [*keys, "text_hash"]
+    hits = rows.mapInArrow(each, schema).groupBy(*who, "form", "size", "hash", "at").agg(F.count("*").alias("text_copies"), F.first("slots").alias("slots"))
+    met = hits.join(F.broadcast(known) if n <= BROADCAST_WINDOWS and not shuffled else known, ["form", "size", "hash"])
+    pair = [*who, "item_id", "item", "form"]
+    # equal windows of an item count once each; what a text repeats doesn't count again
+    enough = met.groupBy(*pair, "n_windows", "own").agg(F.lit(1).alias("one")).groupBy(*pair, "n_windows").agg(F.count("*").alias("n_matched")).where(F.col("n_matched") >= similarity * F.col("n_windows"))
+    enough = common.cut(enough)
+    same = F.lit(True)
+    for c in pair:
+        same = same & met[c].eqNullSafe(enough[c])
+    close = met.join(enough, same, "left_semi")
+    judged_schema = T.StructType([*(met.schema[c] for c in pair), *T.StructType.fromDDL("item_copies long, text_copies long, n_matched long, similarity double, kind int").fields])
+
+    def each_find(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        kind = 0 if first["form"] == BARE else judge_find(pdf["own"].to_numpy(), pdf["at"].to_numpy(), pdf["own_slots"].tolist(), pdf["slots"].tolist(), similarity)
+        if kind is None:
+            return pd.DataFrame(columns=judged_schema.names)
+        n = pdf["own"].nunique()
+        return pd.DataFrame([[*(first[c] for c in pair), int(first["copies"]), int(pdf["text_copies"].max()), n, n / int(first["n_windows"]), kind]], columns=judged_schema.names)
+
+    judged = close.groupBy(*pair).applyInPandas(each_find, judged_schema)
+    best = F.min_by(F.struct("item_copies", "text_copies", "n_matched", "similarity", "kind"), F.struct("kind", "form"))
+    return judged.groupBy(*who, "item_id", "item").agg(best.alias("best")).select(*who, "item_id", "best.*")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", shuffled: bool = False) -> DataFrame:
+    """doc_id, item_id, n_matched, similarity and kind (of `KINDS`) for each item found in a document."""
+    found = finds(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias(text)), benchmark, ["doc_id"], similarity, window, text, item_id, shuffled)
+    if found is None:
+        schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", benchmark.schema[item_id].dataType), *T.StructType.fromDDL("n_matched long, similarity double, kind string").fields])
+        return docs.sparkSession.createDataFrame([], schema)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("item_copies") * F.col("text_copies")))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
+    return found.select("doc_id", "item_id", "n_matched", "similarity", kind.alias("kind"), each).drop("col")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, window: int = WINDOW, text: str = "text", item_id: str = "item_id", shuffled: bool = False) -> DataFrame:
+    """The rows of docs in which no item is found."""
+    found = finds(docs.select(F.col(text).alias(text)), benchmark, [], similarity, window, text, item_id, shuffled)
+    if found is None:
+        return docs
+    bad = common.cut(found.select(F.col("text_hash").alias("_leak")).distinct())
+    small = bad.count() <= BROADCAST_TEXTS and not shuffled
+    return docs.join(F.broadcast(bad) if small else bad, F.xxhash64(text) == F.col("_leak"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
