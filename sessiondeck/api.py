@@ -76,10 +76,9 @@ def _write(lines: DataFrame, out: str | None, out_dir: str | None, extension: st
     """Sessions and events written. One file or stream takes rows partition by partition."""
     seen: set[str] = set()
     n = 0
-    rows = lines.select("sid", "seq", "line").orderBy("seq").toLocalIterator()
     if out_dir is None:
         def told():
-            for r in rows:
+            for r in lines.select("sid", "seq", "line").orderBy("seq").toLocalIterator():
                 seen.add(r["sid"])
                 yield r["line"]
 

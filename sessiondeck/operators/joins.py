@@ -12,15 +12,20 @@ def calls(events: DataFrame, *more: str) -> DataFrame:
 
 
 def with_call_in_turn(context: DataFrame) -> DataFrame:
-    """context with `call`: of a result, the first call of its id in its own turn and before it."""
-    key = ["sid", "run_no", "turn_no"]
-    results = context.where("type = 'tool_result' and turn_no > 0").select(*key, F.col("seq").alias("result_seq"), F.col("tool_call_id").alias("call_id"))
-    made = calls(context.where("turn_no > 0"), "run_no", "turn_no")
-    found = (
-        results.join(made, [*key, "call_id"]).where("seq < result_seq").groupBy("sid", F.col("result_seq").alias("seq"))
-        .agg(F.min_by(F.struct("name", "normalized_name", "arguments"), F.struct("seq", "pos")).alias("call"))
-    )
-    return context.join(found, ["sid", "seq"], "left")
+    """context with `call`: of a result, the first call of its id in its own turn and before it.
+
+    Each call becomes a row of its own beside its event, and a window over the rows of one id in one turn looks back. It is
+    partitioned by session first, as the context is, so there is no exchange and no join.
+    """
+    names = ("name", "normalized_name", "arguments")
+    of_result = F.when(F.col("type") == "tool_result", F.col("tool_call_id"))
+    none = F.struct(*[F.lit(None).cast("string").alias(c) for c in names])
+    own = F.array(F.struct(of_result.alias("id"), F.lit(-1).alias("pos"), F.when(F.lit(False), none).alias("call")))
+    made = F.transform(F.coalesce("tool_calls", F.array()), lambda x, i: F.struct(x["id"].alias("id"), i.alias("pos"), F.struct(*[x[c].alias(c) for c in names]).alias("call")))
+    rows = context.withColumn("_mark", F.explode(F.when(F.col("type") == "assistant_message", F.concat(own, made)).otherwise(own)))
+    before = Window.partitionBy("sid", "run_no", "turn_no", "_mark.id").orderBy("seq", "_mark.pos").rowsBetween(Window.unboundedPreceding, -1)
+    found = F.when(of_result.isNotNull() & (F.col("turn_no") > 0), F.first("_mark.call", ignorenulls=True).over(before))
+    return rows.withColumn("call", found).where("_mark.pos = -1").drop("_mark")
 
 
 def with_called_name(context: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import ROLES, TYPES
+from ..shared import shared_dir
 from . import joins
 from .context import with_context
 
@@ -89,6 +90,11 @@ def filter_events(events: DataFrame, c: Criteria) -> DataFrame:
     return kept.drop("called_name") if c.tools else kept
 
 
+def has_trim(tool_lines: int | None = None, no_thinking: bool = False) -> bool:
+    """Whether trim() would change anything."""
+    return tool_lines is not None or no_thinking
+
+
 def trim(events: DataFrame, tool_lines: int | None = None, no_thinking: bool = False) -> DataFrame:
     """Without all but the first lines of results' and custom messages' texts, and without thinking. No row goes."""
     from ..functions.text import first_lines
@@ -125,10 +131,8 @@ class HeadPathError(ValueError):
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder in spark.checkpoint.dir; a local one only where that is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sessiondeck-checkpoints")
+    """The same rows, written to the folder in spark.checkpoint.dir."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -139,6 +143,7 @@ def head_path(entries: DataFrame, heads: DataFrame, keys: tuple[str, ...] = ("si
     takes log2(n) rounds, each two joins by entry. An id that occurs twice, a head that isn't there and a cycle are errors.
     """
     on = [*keys, "id"]
+    entries = _cut(entries)  # read in every round
     if entries.groupBy(*on).count().where("count > 1").limit(1).count():
         raise HeadPathError("duplicate entry ID")
     path = heads.select(*keys, F.col("head").alias("id"))

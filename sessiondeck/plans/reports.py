@@ -124,6 +124,16 @@ def first_turn_report(events: DataFrame, generated: str) -> str:
     return "\n\n".join(["\n".join(head), block("All"), block("feat"), block("fix"), "## Top 10 longest first-turns by output_tokens", "\n".join(table)]) + "\n"
 
 
+#: Fixed values of the session report: notes on agents, by a word of their label or by their role; the mark of what a person has yet to write; and the headings of the last section.
+NOTES = {
+    "ORPHANED": "reviewer **orphaned** — process exited; verdict never consumed by parent.",
+    "WATCHDOG": "implementer **watchdog-killed** mid-run; a retry agent re-did the work.",
+    "fix": "is a **fix wave** — the preceding review found problems that needed correcting.",
+}
+PENDING = "<!-- pending -->"
+NARRATIVE = ("\n## Narrative & assessment\n", "### What went well", "### Where the agent went off (root causes)", "### Reviewer verdicts (per task)", "### Recommendations")
+
+
 @dataclass(frozen=True)
 class Phase:
     title: str
@@ -219,19 +229,23 @@ def session_report(config: Config, events: DataFrame) -> str:
             role, label = config.agents.get(sid, ("?", sid))
             a, t, e = numbers(sid)
             lines.append(f"- `{sid[:12]}` [{role}] {label} — {models.get(sid) or '?'} ({a} turns, {t} tools{f', {e} errors' if e else ''})")
-            notes += [f"`{sid[:12]}` {text}" for hit, text in (("ORPHANED" in label and sid in config.agents, "reviewer **orphaned** — its verdict was never used."), ("WATCHDOG" in label and sid in config.agents, "implementer **stopped by the watchdog**; another agent did the work again."), (role == "fix", "is a **fix wave** — the review before it found problems.")) if hit]
+            shows = {"ORPHANED": "ORPHANED" in label, "WATCHDOG": "WATCHDOG" in label, "fix": role == "fix"} if sid in config.agents else {}
+            notes += [f"`{sid[:12]}` {text}" for what, text in NOTES.items() if shows.get(what)]
         lines += [""] if p.ids else []
         lines += ["**What went wrong / went off**", *(f"- {x}" for x in notes), ""] if notes else []
         lines += ["**Human**", *people[i], ""] if i in people else []
         lines += listed((i, 0), "**Main-thread tool calls**")
         for k, sid in enumerate(p.ids, 1):
             lines += listed((i, k), f"**`{sid[:12]}` [{config.agents.get(sid, ('?', ''))[0]}] tool calls**")
-        lines.append("\n### Assessment")
-    tally = calls.where(F.col("error").isNotNull()).groupBy("error").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "error").collect()
+        lines += ["\n### Assessment", PENDING]
+    tally = calls.where(F.col("error").isNotNull()).groupBy("error").agg(F.count("*").alias("n"), F.min(F.struct("phase", "place", "seq", "pos")).alias("at")).orderBy(F.col("n").desc(), "at").collect()
     lines += ["\n## Error summary\n", "| error name | count |", "|---|--:|", *(f"| {r['error']} | {r['n']} |" for r in tally), f"| **total** | **{sum(r['n'] for r in tally)}** |"]
+    lines.append(NARRATIVE[0])
+    for title in NARRATIVE[1:]:
+        lines += [title, f"{PENDING}\n"]
     for x in (events, calls, said):
         x.unpersist()
-    return "\n".join(lines) + "\n"
+    return "\n".join(lines)
 
 
 def read_export(spark: SparkSession, config: Config) -> DataFrame:

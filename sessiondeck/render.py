@@ -59,7 +59,7 @@ def ndjson(events: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _yaml(values: pd.Series) -> pd.Series:
-    return values.map(yaml.from_json)
+    return values.map(yaml.from_json, na_action="ignore")
 
 
 def _summary(c: Column) -> Column:

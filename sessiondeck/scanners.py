@@ -50,9 +50,9 @@ def _any(text: Column, parts: Iterable[str]) -> Column:
 
 def failures(events: DataFrame, target: Target) -> DataFrame:
     """The failed results whose command or output mentions the target, with what was going on."""
-    found = joins.with_call_in_turn(ctx.with_prior(_context(events), aggregates.failed(), "prior_errors"))
-    prompts = ctx.turns(_context(events)).select("sid", "run_no", "turn_no", F.col("user_text").alias("_prompt"))
-    found = found.where(aggregates.failed()).join(prompts, ["sid", "run_no", "turn_no"], "left").withColumn("command", command_of("call.arguments"))
+    prompt = F.when(F.col("turn_no") > 0, F.first("text").over(ctx.turn()))  # a turn begins with its user's message
+    found = joins.with_call_in_turn(ctx.with_prior(_context(events), aggregates.failed(), "prior_errors").withColumn("_prompt", prompt))
+    found = found.where(aggregates.failed()).withColumn("command", command_of("call.arguments"))
     hit = mentions("command", list(target.parts), target.prefix) | mentions("content", list(target.parts), target.prefix)
     is_test = _any(F.col("command"), target.test_commands) | _any(F.col("content"), target.test_outputs)
     is_shell = F.coalesce(F.col("call.normalized_name") == "terminal", F.lit(False)) | F.col("exit_code").isNotNull()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from .formats.base import Format
-from .json_values import first_json_value
+from .json_values import read_first_value
 from .registry import Registry
 
 
@@ -62,5 +62,5 @@ def in_folder(known: Format, path: str, search: Search) -> bool:
     if not search.cwd or not known.layout.cwd_of:
         return True
     with open(path, encoding="utf-8", errors="replace") as f:
-        first = first_json_value(f.read())
+        first = read_first_value(f)
     return search.cwd.lower() in known.layout.cwd_of(first, os.path.basename(os.path.dirname(path))).lower()

@@ -37,9 +37,16 @@ TOOL_NAMES = {
     "bash": "terminal", "read": "file_read", "update": "file_edit", "edit": "file_edit", "multiedit": "file_edit", "write": "file_write", "grep": "content_search",
     "glob": "file_search", "search": "file_search", "fetch": "web_fetch", "webfetch": "web_fetch", "task": "sub_agent", "agent": "sub_agent",
 }
+#: The note on what an export lacks, and the mark of a text that was cut.
 FIDELITY = "Parsed from a Claude Code /export transcript (display text). Lossy: no token usage, no thinking, no real tool-call ids, tool payloads may be truncated, prose newlines are approximate."
-_EXPAND = r"\(ctrl\+o to expand\)"
-_FAILED = re.compile(r"\b(error|fail(ed|ure|s)?|forbidden|not found|denied|exit code [1-9])\b", re.I)
+CLIPPED = "…[truncated]"
+#: Patterns of what the terminal shows. Hints that there is more, and lines that are left out; failures; a call and a tool's name; branches of the agents' tree and their results; the banner's art, program, separator and folder; a file's name.
+EXPAND_HINT, MORE_LINES = re.compile(r"\s*\(ctrl\+o to expand\)\s*"), re.compile(r"…\s*\+\d+ lines.*")
+FAILED = re.compile(r"\b(error|fail(ed|ure|s)?|forbidden|not found|denied|exit code [1-9])\b", re.I)
+CALL, TOOL_NAME = re.compile(r"([A-Z][A-Za-z0-9]*(?: [A-Z][A-Za-z0-9]*)*)\((.*)\Z"), re.compile(r"[A-Z][a-z]+([A-Z][a-z]+)*")
+BRANCH, LEAF = re.compile(r"[├└]\s*(.+?)(?:\s+·\s+(.*))?\Z"), re.compile(r"⎿\s*(.*)\Z")
+ART, PROGRAM, SEPARATOR, FOLDER = " \t▐▛▜▝▘▎█", "Claude Code v", " · ", re.compile(r"~?/\S+")
+FILE_NAME = re.compile(r"(\d{4}-\d{2}-\d{2})-(\d{2})(\d{2})(\d{2})-.+\Z")
 
 
 def blocks(lines: list[str]) -> Iterator[tuple[str, list[str]]]:
@@ -93,62 +100,55 @@ def without_box(text: str) -> str:
 
 def without_clipping(text: str) -> str:
     """Without the terminal's hints that there is more; a last line says so instead."""
-    clipped = re.search(rf"{_EXPAND}|…\s*\+\d+ lines|…\Z", text)
-    t = re.sub(rf"\s*{_EXPAND}\s*", " ", text)
-    t = re.sub(r"…\s*\+\d+ lines.*$", "", t, flags=re.M)
-    t = re.sub(r"\s+$", "", t, flags=re.M).strip()
-    return f"{t}\n…[truncated]" if clipped else t
+    shown = MORE_LINES.sub("", EXPAND_HINT.sub(" ", text))
+    body = "\n".join(x for x in map(str.rstrip, shown.split("\n")) if x).strip()
+    clipped = EXPAND_HINT.search(text) or MORE_LINES.search(text) or text.endswith("…")
+    return f"{body}\n{CLIPPED}" if clipped else body
 
 
 def looks_failed(content: str) -> bool:
-    return _FAILED.search(content.split("\n", 1)[0]) is not None
+    return FAILED.search(content.split("\n", 1)[0]) is not None
 
 
 def tool_call(lines: list[str]) -> tuple[str, dict[str, Any]] | None:
     """Label and arguments of a call such as Name(text), which may run over lines."""
-    m = re.match(r"([A-Z][A-Za-z0-9]*(?: [A-Z][A-Za-z0-9]*)*)\((.*)\Z", re.sub(r"^⏺ ?", "", lines[0]))
-    if not m or (m[1].lower() not in LABELS and not re.fullmatch(r"[A-Z][a-z]+([A-Z][a-z]+)*", m[1])):
+    if not (m := CALL.match(lines[0].removeprefix("⏺").removeprefix(" "))):
         return None
-    told = " ".join([m[2], *(x.strip() for x in lines[1:])])
-    told = re.sub(r"…\s*\Z", "", re.sub(r"\)\s*\Z", "", told)).strip()
-    told = re.sub(r"\n…\[truncated\]\Z", "", without_clipping(told))
-    return m[1], {ARGUMENTS.get(m[1].lower(), "input"): told}
+    label, told = m[1], " ".join([m[2], *map(str.strip, lines[1:])]).rstrip().removesuffix(")").rstrip()
+    key = label.lower()
+    if key not in LABELS and not TOOL_NAME.fullmatch(label):
+        return None
+    told = without_clipping(told.removesuffix("…").strip()).removesuffix(f"\n{CLIPPED}")
+    return label, {ARGUMENTS.get(key, "input"): told}
 
 
 def agents(lines: list[str]) -> list[tuple[dict[str, Any], str | None]]:
-    """Arguments and result of each agent in the tree below a fan-out."""
-    found: list[tuple[dict[str, Any], str | None]] = []
-    waits = False
-    for line in (x.strip() for x in lines):
-        if m := re.match(r"[├└]\s*(.+?)(?:\s+·\s+(.*))?\Z", line):
-            about = {"description": m[1].strip()}
-            found.append((about if m[2] is None else about | {"meta": m[2].strip()}, None))
-            waits = True
-        elif waits and (m := re.search(r"⎿\s*(.*)\Z", line)):
-            found[-1] = (found[-1][0], m[1].strip())
-            waits = False
-    return found
+    """Arguments and result of each agent in the tree below a fan-out: a branch names one, and the first leaf below it is its result."""
+    found: list[list] = []
+    for line in map(str.strip, lines):
+        branch, leaf = BRANCH.match(line), LEAF.search(line)
+        if branch:
+            about = {"description": branch[1], "meta": branch[2]}
+            found.append([{k: v.strip() for k, v in about.items() if v is not None}, None])
+        elif leaf and found and found[-1][1] is None:
+            found[-1][1] = leaf[1].strip()
+    return [tuple(x) for x in found]
 
 
 def banner(lines: list[str]) -> tuple[str | None, str | None]:
-    """Model and working folder."""
-    model = cwd = None
-    for raw in lines:
-        line = re.sub(r"^[\s▐▛▜▝▘▎█]+", "", raw).strip()
-        if not line or (not model and "Claude Code v" in raw):
-            continue
-        if not model and " · " in line:
-            model = line.split(" · ")[0].strip()
-        if not cwd and (m := re.search(r"~?/\S+", line)):
-            cwd = m[0]
-    return model or None, cwd
+    """Model and working folder: the first line with a separator says the one, the first with a path the other."""
+    plain = [x for x in (line.lstrip(ART).strip() for line in lines) if x]
+    at = next((i for i, x in enumerate(plain) if PROGRAM not in x and SEPARATOR in x), len(plain))
+    folders = (FOLDER.search(x) for i, x in enumerate(plain) if i >= at or PROGRAM not in x)
+    model = plain[at].split(SEPARATOR)[0].strip() if at < len(plain) else ""
+    return model or None, next((m[0] for m in folders if m), None)
 
 
 def file_name(name: str) -> tuple[str, str]:
     """Id and time."""
-    base = re.sub(r"\.txt\Z", "", name)
-    m = re.match(r"(\d{4}-\d{2}-\d{2})-(\d{2})(\d{2})(\d{2})-.+\Z", base)
-    return base, f"{m[1]}T{m[2]}:{m[3]}:{m[4]}" if m else ""
+    base = name.removesuffix(".txt")
+    m = FILE_NAME.match(base)
+    return base, f"{m[1]}T{':'.join(m.groups()[1:])}" if m else ""
 
 
 class TextExport(Format):

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, TextIO
 
 _SPACE = re.compile(r"[ \t\r\n]*")
 _TOKEN = re.compile(
@@ -111,6 +111,21 @@ def first_json_value(text: str) -> Any:
         return None
 
 
+def read_first_value(f: TextIO, step: int = 1 << 16) -> Any:
+    """The first value of a text file, read only as far as it goes."""
+    text = ""
+    while part := f.read(max(step, len(text))):  # twice as far each time, so that all attempts together stay linear
+        text += part
+        try:
+            for value in json_values(text):
+                if not isinstance(value, (int, float)) or text[-1] in " \t\r\n" or len(text) > len(json.dumps(value)) + 8:
+                    return value
+                break  # a number may go on
+        except MalformedRecord:
+            return None
+    return first_json_value(text)
+
+
 def first_lines(text: str, n: int) -> list[str]:
     """The first n lines that aren't blank."""
     found = (line for line in re.split(r"\r?\n", text) if line.strip())

@@ -15,5 +15,5 @@ def test_queries_have_names_of_their_own():
 
 
 def test_the_rest_imports_without_the_llm_folder():
-    code = "import sys\nclass No:\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith(('sessiondeck.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert e.queries() and not [q for q in e.queries() if q.startswith('op')]\n"
+    code = "import sys\nclass No:\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith(('sessiondeck.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert e.queries() and not [q for q in e.queries() if q.startswith('op')]\n"
     subprocess.run([sys.executable, "-c", code], check=True)
