@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..shared import shared_dir
+
 #: Rows in an Arrow batch: with whole texts a batch stays at a few MB, in the JVM and in its Python workers.
 ARROW_ROWS = 512
 
@@ -17,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset, as in tests."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "/tmp/sessiondeck-checkpoints"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and written to the shared folder, so that lost executors cost nothing that is done."""
     shared_dir(df.sparkSession)
@@ -66,6 +57,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder that nothing reads any more, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fold(doc_id: str | Column, k: int) -> Column:
     """crc32 of doc_id as text, modulo k. A null id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -46,7 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import common, vec
 
 BLOCK_TOKENS = 1 << 22
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 DISCOUNT = 0.5  # the draws' closed form holds for this one
 STRENGTH, PLACE = 0.5, 2.0
 BURN_IN, SAMPLES = 2, 3
@@ -239,12 +239,15 @@ class Texts:
     def __init__(self, body: bytes) -> None:
         gap, rank, index, long, self.held = unpack(body)
         self.vocabulary, self.long = ungap(gap), long.astype(np.int64)
-        self.index, self.start, size = np.argsort(rank)[index], int(np.searchsorted(self.vocabulary, START)), len(gap)
+        self.index, self.start, size = np.argsort(rank).astype(np.int32)[index], int(np.searchsorted(self.vocabulary, START)), len(gap)
+        del rank, index
         before = np.empty_like(self.index)
         before[1:] = self.index[:-1]
         before[np.cumsum(self.long) - self.long] = self.start
-        pair, self.of = np.unique(self.index * size + before, return_inverse=True)
-        self.pair_word, self.pair_context = pair // size, pair % size
+        key = self.index.astype(np.int64) * size
+        key += before
+        pair, of = np.unique(key, return_inverse=True)
+        self.of, self.pair_word, self.pair_context = of.astype(np.int32), (pair // size).astype(np.int32), (pair % size).astype(np.int32)
 
     def dealt(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """The pairs in order of their shards, and where each shard's begin."""
@@ -281,9 +284,9 @@ def unpack_pairs(blob: bytes) -> tuple[np.ndarray, ...]:
     """Words' and contexts' hashes, the pairs as places in them, and their values."""
     gap, n, at, *values = unpack(blob)
     hashes, words, contexts = ungap(gap), np.flatnonzero(n), np.unique(at)
-    place = np.zeros(len(hashes), np.int64)
+    place = np.zeros(len(hashes), np.int32)
     place[contexts] = np.arange(len(contexts))
-    return hashes[words], hashes[contexts], np.repeat(np.arange(len(words)), n[words]), place[at], *values
+    return hashes[words], hashes[contexts], np.repeat(np.arange(len(words), dtype=np.int32), n[words]), place[at], *values
 
 
 def merge(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -291,11 +294,15 @@ def merge(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     own = [unpack_pairs(x) for x in blobs]
     words, contexts = (np.unique(np.concatenate([x[j] for x in own])) for j in (0, 1))
     width = max(len(contexts), 1)
-    keys = [np.searchsorted(words, x[0])[x[2]] * width + np.searchsorted(contexts, x[1])[x[3]] for x in own]
+    keys, counts = [], []
+    while own:  # what is read goes at once
+        x = own.pop(0)
+        keys.append(np.searchsorted(words, x[0])[x[2]] * width + np.searchsorted(contexts, x[1])[x[3]])
+        counts.append(x[4])
     pairs = np.unique(np.concatenate(keys))
-    places, count = [np.searchsorted(pairs, k) for k in keys], np.zeros(len(pairs), np.int64)
-    for k, x in zip(places, own, strict=True):
-        count[k] += x[4]
+    places, count = [np.searchsorted(pairs, k).astype(np.int32) for k in keys], np.zeros(len(pairs), np.int64)
+    for k, n in zip(places, counts, strict=True):
+        count[k] += n
     return places, words, contexts, pairs // width, pairs % width, count
 
 
@@ -372,8 +379,9 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
                 for kind, p, body in Texts(batch.column("body")[i].as_py()).told(shards):
                     yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([kind]), pa.array([p], pa.int32()), pa.array([body], pa.binary())], ["block", "kind", "shard", "body"])
 
-    texts = common.cut(rows.mapInArrow(read, f"block long, body binary, ids array<{id_type.simpleString()}>, trained long"))
-    blocks = common.cut_by(texts.select("block", "body").mapInArrow(deal, "block long, kind string, shard int, body binary"), max(common.partitions(spark), 2 * shards), "shard")
+    many = max(common.partitions(spark), 2 * shards)
+    texts = common.cut_by(rows.mapInArrow(read, f"block long, body binary, ids array<{id_type.simpleString()}>, trained long"), many, "block")
+    blocks = common.cut_by(texts.select("block", "body").mapInArrow(deal, "block long, kind string, shard int, body binary"), many, "shard")
     of_tokens, of_pairs = (blocks.where(F.col("kind") == k) for k in ("tokens", "pairs"))
     train_tokens = int(texts.agg(F.sum("trained")).first()[0] or 0)
     common.free(spark, wait=0.3)  # the shuffle's files go: what follows reads the blocks where they lie, by shard
