@@ -4,7 +4,8 @@ Tokens are runs of letters and digits, lower-cased, as 64-bit hashes. From label
 toxic against clean under an informative Dirichlet prior (the pooled rates, as `PRIOR` pseudo-counts), less `CAUTION` of its
 standard errors and less `DRIFT`; what isn't positive then counts -DRIFT. Toxic occurrences count once for each distinct
 pair of neighbours, so that copies of one text are one piece of evidence. A linear scan over a text's token
-scores (all maximal-scoring segments, each found once, by the stack of Ruzzo and Tompa; runs of equal negative scores are
+scores (all maximal-scoring segments, each found once, by the stack of Ruzzo and Tompa, in which each segment knows the next
+one to its left that begins lower, so that all searches together are linear; runs of equal negative scores are
 one step) gives its passages. By extreme-value statistics a passage of score S in n tokens has E-value K n exp(-lambda S):
 lambda solves sum p exp(lambda s) = 1 over the clean tokens, K comes from the clean documents' passages. The bits of the
 best passage and of all significant ones feed a logistic calibration.
@@ -53,21 +54,23 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def segments(place: list[int], score: list[float], drift: float) -> list[tuple[int, int, float]]:
     """First and last token and score of all maximal-scoring segments; place and score: of the tokens with a positive score, all others count -drift."""
-    stack: list[tuple[int, int, float, float]] = []  # first, last, sum before it, sum with it
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, sum before it, sum with it, the next one down whose sum before is smaller
     total, last = 0.0, -1
     for i, s in zip(place, score, strict=True):
         total -= drift * (i - last - 1)
-        first, before = i, total
+        first, before, below = i, total, len(stack) - 1
         total += s
-        while stack:
-            j = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][2] < before), -1)
-            if j < 0 or stack[j][3] >= total:
+        while True:
+            while below >= 0 and stack[below][2] >= before:
+                below = stack[below][4]  # what is passed here is never looked at again: what comes next starts from this segment's link
+            if below < 0 or stack[below][3] >= total:
                 break
-            first, before = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((first, i, before, total))
+            first, _, before, _, link = stack[below]
+            del stack[below:]
+            below = link
+        stack.append((first, i, before, total, below))
         last = i
-    return [(a, b, r - l) for a, b, l, r in stack]
+    return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float, prior: float = PRIOR, caution: float = CAUTION, drift: float = DRIFT) -> np.ndarray:
@@ -122,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = LEARN_ROW
     n = known.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     drawn = known.where(place < F.lit(int((1 << 30) * min(1.0, rows / max(n, 1))))).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)))
-    sample = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")  # some LEARN_ROWS rows at most
+    sample = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    sample = common.cut(sample)  # some LEARN_ROWS rows at most, read three times
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Toxic: each token with its neighbours once. Clean: each token with its number, for each batch."""
@@ -138,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = LEARN_ROW
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pair[0], word]).view(np.int64)), pa.array([*pair[1].view(np.int64).tolist(), *[None] * len(word)], pa.int64()), pa.array(np.concatenate([np.zeros(pair.shape[1], np.int64), number]))], ["token", "around", "n"])
 
     held = sample.where("part != 0").select("text", "toxic").mapInArrow(count, "token long, around long, n long")
-    by_token = held.groupBy("token", "around").agg(F.sum("n").alias("n")).groupBy("token").agg(F.count("around").alias("t"), F.sum("n").alias("n"))
+    by_token = common.cut(held.groupBy("token", "around").agg(F.sum("n").alias("n")).groupBy("token").agg(F.count("around").alias("t"), F.sum("n").alias("n")))
     all_t, all_n = by_token.agg(F.sum("t"), F.sum("n")).first()
     if not all_t or not all_n:
         return None
