@@ -150,7 +150,8 @@ def encode(docs: DataFrame, ranks: str = RANKS, chunk_chars: int = CHUNK_CHARS,
                     yield pa.RecordBatch.from_arrays([pa.array([rid], pa.int64()), pa.array([k], pa.int32()), pa.array([s], pa.int64()), pa.array([piece], pa.string()), row], ["rid", "k", "start", "piece", "row"])
 
     n = common.partitions(docs.sparkSession)
-    dealt = docs.where(F.char_length("text") > chunk_chars).mapInArrow(cut, f"rid long, k int, start long, piece string, row {row_type}").repartition(n, "rid", "k")
+    dealt = docs.where(F.char_length("text") > chunk_chars).mapInArrow(cut, f"rid long, k int, start long, piece string, row {row_type}")
+    dealt = common.cut_by(dealt, n, "rid", "k")  # written once: a row's number is made in the reading task, so its chunks must never be made anew in another order
     zone = "array<long>"
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
