@@ -3,7 +3,8 @@
 A text is normalised (null to empty; nothing more, as every byte counts for a byte-level tokenizer) and digested. The
 digests, with the digest of the tokenizer file, are joined to the stored counts; of those that miss, each distinct text is
 encoded once, and its count is appended to the cache, a folder of Parquet files. All rows then take their counts from the
-cache by digest.
+cache by digest. Digests are asked first, so with a full cache no text is shuffled: up to `BROADCAST_MISSES` missing digests
+are sent to where the texts are, and only those texts move; of more, all texts do, once, without their copies.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows repeat; other columns of the input are kept
 (but n_bytes, n_tokens and over_limit, which are replaced); an empty table gives an empty table. Counts that two runs
@@ -27,6 +28,7 @@ from . import common, vec
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
+BROADCAST_MISSES = 200_000
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 
 
@@ -91,13 +93,22 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def fill_cache(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, text: str = "text") -> str:
-    """Appends the counts of all texts that the cache lacks. Gives the tokenizer's digest."""
+def fill_cache(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, text: str = "text", few: int = BROADCAST_MISSES) -> str:
+    """Appends the counts of all texts that the cache lacks. Gives the tokenizer's digest. few: how many missing digests are broadcast."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(whole.alias("text"), F.sha2(whole.cast("binary"), 256).alias("digest"))
+    stored = read_cache(spark, cache, version).select("digest")
+    missing = common.cut(texts.select("digest").distinct().join(stored, "digest", "left_anti"))
+    n = missing.count()
+    if not n:
+        return version
+    if n <= few:
+        texts = texts.join(F.broadcast(missing), "digest", "left_semi")
     # copies go before the shuffle, so that a text that many documents hold isn't gathered in one task
-    misses = texts.dropDuplicates(["digest"]).join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti")
+    misses = texts.dropDuplicates(["digest"])
+    if n > few:
+        misses = misses.join(missing, "digest", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
