@@ -46,10 +46,9 @@ def literal_tokens(rule: Rule) -> list[str]:
     return sorted({f"h:{x}" for x in rule.host.split(".") if x} | {f"p:{x}" for x in rule.path.split("/")[:-1] if x})
 
 
-def expression(rule: Rule) -> str:
-    """Over host, a line feed and path."""
-    host = rf"(?:[^\n]*\.)?{re.escape(rule.host)}" if rule.host else r"[^\n]*"
-    return rf"(?s)^{host}\n{re.escape(rule.path)}.*"
+def expressions(rule: Rule) -> tuple[str, str]:
+    """Over the host and over the path; either may hold any character."""
+    return rf"(?s)\A(?:.*\.)?{re.escape(rule.host)}\z" if rule.host else r"\A", rf"(?s)\A{re.escape(rule.path)}"
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, default: str = DEFAULT, url: str = "url") -> DataFrame:
@@ -62,8 +61,8 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, default: str = DEFAULT, u
         F.transform(F.split("host", r"\."), lambda x: F.concat(F.lit("h:"), x)),
         F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("p:"), x)), F.array(F.lit("*")),
     ))).alias("token"))
-    made = [(i, r.verdict, r.host + r.path, expression(r), literal_tokens(r) or ["*"]) for i, r in enumerate(rules)]
-    book = spark.createDataFrame(made, "id long, v string, name string, pattern string, literals array<string>")
+    made = [(i, r.verdict, r.host + r.path, *expressions(r), literal_tokens(r) or ["*"]) for i, r in enumerate(rules)]
+    book = spark.createDataFrame(made, "id long, v string, name string, on_host string, on_path string, literals array<string>")
     small = len(rules) <= BROADCAST_RULES
     offered = book.select("id", F.explode("literals").alias("token"))
     wanted = offered.select("token").distinct()
@@ -72,7 +71,7 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, default: str = DEFAULT, u
     index = rarest.join(book.drop("literals"), "id")
     fitting = (
         tokens.join(F.broadcast(index) if small else index, "token")
-        .where(F.expr("concat(host, '\n', path) rlike pattern"))
+        .where(F.expr("host rlike on_host and path rlike on_path"))
         .groupBy("host", "path").agg(F.min_by(F.struct("name", "v"), F.struct(-F.length("name"), "name")).alias("won"))
     )
     out = parsed.join(fitting, ["host", "path"], "left")
