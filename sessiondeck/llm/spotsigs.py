@@ -2,8 +2,7 @@
 
 Tokens are runs of letters and digits, lower-cased. Each occurrence of a common word (ANCHORS), and the beginning of the
 text, is an anchor; its signature is the anchor with the next `CHAIN` content words (words that aren't anchors; fewer at the
-end of a text, but one at least). The fingerprint of a text is the set of its signatures, told as its size and a 128-bit
-digest of the sorted set. A text with words but no content word has its whole word sequence as its one signature, and a text
+end of a text, but one at least). The fingerprint of a text is the sorted set of its signatures, of 64 bits each. A text with words but no content word has its whole word sequence as its one signature, and a text
 without words its bytes, so only the empty text has an empty set. Likeness is the Jaccard coefficient of two sets.
 
 Near-duplicates of a threshold t: a set of n signatures can only be as like one of t*n to n/t. Distinct sets are partitioned
@@ -18,6 +17,7 @@ sorts first.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
@@ -37,6 +37,8 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 THRESHOLD = 0.8
+#: Ids that the cuts between ranges come from.
+SAMPLE = 50_000
 
 
 def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
@@ -77,7 +79,12 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> list[np.ndarray]:
 
 
 def told(sigs: np.ndarray) -> str:
-    return f"{len(sigs)}:{hashlib.blake2b(sigs.tobytes(), digest_size=16).hexdigest()}"
+    """A fingerprint: 16 hex digits for each signature, in order. Two fingerprints' likeness is the Jaccard coefficient of their groups of 16."""
+    return sigs.astype(">u8").tobytes().hex()
+
+
+def untold(fingerprint: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, floor: float = 0.0) -> float:
@@ -91,28 +98,38 @@ def likeness(a: np.ndarray, b: np.ndarray, floor: float = 0.0) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _dealt(docs: DataFrame, n: int) -> DataFrame:
-    """docs (doc_id, text) in order of doc_id within partitions, by ranges; each range ends with a guest, the row that follows it."""
-    spark = docs.sparkSession
-    key = F.col("doc_id").cast("long")
-    cuts = sorted({int(x) for x in docs.select(key.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= key)), F.lit(0)) if cuts else F.lit(0)
-    part = F.when(key.isNull(), F.lit(0)).otherwise(part)
-    heads = sorted((r["p"], r["none"], r["least"]) for r in docs.select(part.alias("p"), key.alias("k")).groupBy("p").agg(F.min("k").alias("least"), F.max(F.col("k").isNull()).alias("none")).collect())  # a row for each range
+def _dealt(docs: DataFrame, n: int, sample: int = SAMPLE) -> DataFrame:
+    """docs (doc_id, text) in order of doc_id within partitions, by ranges; each range ends with guests, the rows of the id that follows it.
+
+    The cuts between ranges come from a sample of at most some `sample` ids, and a range's first id from a count over all.
+    """
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    ids = docs.select("doc_id").where("doc_id is not null")
+    rate = min(1.0, sample / max(ids.count(), 1))
+    drawn = sorted(r["doc_id"] for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * rate))).distinct().collect())
+    cuts = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
+
+    @F.arrow_udf("int")
+    def part_of(keys: pa.Array) -> pa.Array:
+        return pa.array([0 if x is None else bisect.bisect_right(cuts, x) for x in keys.to_pylist()], pa.int32())
+
+    heads = docs.select(part_of("doc_id").alias("p"), "doc_id").groupBy("p").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none")).orderBy("p").collect()  # a row for each range
     # a key for each range that Spark's hash deals to a partition of its own
     hashed = spark.range(0, 40 * n + 40).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to")).groupBy("to").agg(F.min("k").alias("k")).collect()
     free = [r["k"] for r in sorted(hashed, key=lambda r: r["to"])]
-    if not heads:
-        return docs.select(F.lit(0).alias("p"), F.lit(0).alias("guest"), "doc_id", "text")
-    deal = F.create_map(*[F.lit(x) for i, (p, _, _) in enumerate(heads) for x in (p, free[i % len(free)])])
-    to = {None if none else least: heads[i - 1][0] for i, (_, none, least) in enumerate(heads)}  # a head is a guest of the range before, the first one of the last
-    known = [F.lit(x) for k, p in to.items() if k is not None for x in (k, p)]
-    target = F.create_map(*known)[key] if known else F.lit(None).cast("int")
-    target = F.when(key.isNull(), F.lit(to.get(None))).otherwise(target).cast("int")
-    home = F.struct(part.cast("int").alias("p"), F.lit(0).alias("guest"))
-    guest = F.struct(target.alias("p"), F.lit(1).alias("guest"))
-    rows = docs.select("doc_id", "text", F.inline(F.when(target.isNotNull(), F.array(home, guest)).otherwise(F.array(home))))
-    return rows.withColumn("deal", deal[F.col("p")]).repartition(n, "deal").sortWithinPartitions("p", "guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).select("p", "guest", "doc_id", "text")
+    deal = {r["p"]: free[i % len(free)] for i, r in enumerate(heads)}
+    before = {None if r["none"] else r["least"]: heads[i - 1]["p"] for i, r in enumerate(heads)}  # a head is a guest of the range before, the first one of the last
+
+    @F.arrow_udf("array<struct<p:int,guest:int,deal:int>>")
+    def places(keys: pa.Array) -> pa.Array:
+        def of(x: object) -> list[dict]:
+            homes = [(0 if x is None else bisect.bisect_right(cuts, x), 0), *([(before[x], 1)] if x in before else [])]
+            return [{"p": p, "guest": guest, "deal": deal[p]} for p, guest in homes]
+
+        return pa.array([of(x) for x in keys.to_pylist()], pa.list_(pa.struct([(c, pa.int32()) for c in ("p", "guest", "deal")])))
+
+    rows = docs.select("doc_id", "text", F.inline(places("doc_id")))
+    return rows.repartition(n, "deal").sortWithinPartitions("p", "guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).select("p", "guest", "doc_id", "text")
 
 
 def against_edits(docs: DataFrame) -> DataFrame:
@@ -147,14 +164,14 @@ def against_edits(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fingerprint, class_id (the smallest doc_id of those that chains of likeness >= threshold connect)."""
+    """doc_id, fingerprint (a digest of the set), class_id (the smallest doc_id of those that chains of likeness >= threshold connect)."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *T.StructType.fromDDL("fingerprint string, sigs array<long>").fields])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in vec.slices(batch):
                 own = signatures(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(told, own)), pa.string()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in own], pa.string()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], schema.names)
 
     rows = common.cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, schema))
     sets = common.cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs")).withColumn("node", F.xxhash64("fingerprint")).withColumn("n", F.size("sigs")))
