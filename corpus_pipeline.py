@@ -56,12 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's input goes as soon as its output is written; only the last one's stays, as its rows are yet to be read."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         path = common.fresh_path(spark, f"pipeline-{name}")
         out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            common.remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
