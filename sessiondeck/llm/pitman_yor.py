@@ -234,20 +234,22 @@ class Block:
 
 
 class Texts:
-    """A block, unpacked: its vocabulary, its texts as places in it, and its distinct pairs (`pair_word`, `pair_context`) with each token's place among them (`of`)."""
+    """A block, unpacked: its vocabulary, its texts as places in it, and, when asked for, its distinct pairs (`pair_word`, `pair_context`) with each token's place among them (`of`)."""
 
     def __init__(self, body: bytes) -> None:
         gap, rank, index, long, self.held = unpack(body)
         self.vocabulary, self.long = ungap(gap), long.astype(np.int64)
-        self.index, self.start, size = np.argsort(rank).astype(np.int32)[index], int(np.searchsorted(self.vocabulary, START)), len(gap)
-        del rank, index
-        before = np.empty_like(self.index)
+        self.index, self.start = np.argsort(rank).astype(np.int32)[index], int(np.searchsorted(self.vocabulary, START))
+
+    def with_pairs(self) -> Texts:
+        before, size = np.empty_like(self.index), len(self.vocabulary)
         before[1:] = self.index[:-1]
         before[np.cumsum(self.long) - self.long] = self.start
         key = self.index.astype(np.int64) * size
         key += before
         pair, of = np.unique(key, return_inverse=True)
         self.of, self.pair_word, self.pair_context = of.astype(np.int32), (pair // size).astype(np.int32), (pair % size).astype(np.int32)
+        return self
 
     def dealt(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """The pairs in order of their shards, and where each shard's begin."""
@@ -255,21 +257,25 @@ class Texts:
         order = np.argsort(shard, kind="stable")
         return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
-    def told(self, shards: int) -> Iterator[tuple[str, int, bytes]]:
-        """What each home is told of tokens and each shard of pairs: training counts."""
-        vocabulary, train = self.vocabulary, np.repeat(~self.held, self.long)
-        known = np.bincount(self.index[train], minlength=len(vocabulary))
+    def token_counts(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        """What each home is told of tokens: training counts."""
+        vocabulary = self.vocabulary
+        known = np.bincount(self.index[np.repeat(~self.held, self.long)], minlength=len(vocabulary))
         known[self.start] = int((~self.held).sum())  # customers of the context
         cut = home_cuts(vocabulary, shards)
         for q in range(shards):
             if cut[q] < cut[q + 1]:
-                yield "tokens", q, pack(gaps(vocabulary[cut[q] : cut[q + 1]]), _counts(known[cut[q] : cut[q + 1]]))
-        trained = np.bincount(self.of[train], minlength=len(self.pair_word))
+                yield q, pack(gaps(vocabulary[cut[q] : cut[q + 1]]), _counts(known[cut[q] : cut[q + 1]]))
+
+    def pair_counts(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        """What each shard is told of pairs: training counts."""
+        self.with_pairs()
+        trained = np.bincount(self.of[np.repeat(~self.held, self.long)], minlength=len(self.pair_word))
         order, bound = self.dealt(shards)
         for p in range(shards):
             some = order[bound[p] : bound[p + 1]]
             if len(some):
-                yield "pairs", p, pack_pairs(vocabulary, self.pair_word[some], self.pair_context[some], _counts(trained[some]))
+                yield p, pack_pairs(self.vocabulary, self.pair_word[some], self.pair_context[some], _counts(trained[some]))
 
 
 def pack_pairs(hashes: np.ndarray, word: np.ndarray, context: np.ndarray, *values: np.ndarray) -> bytes:
@@ -373,18 +379,21 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
         if block.n:
             yield told()
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                for kind, p, body in Texts(batch.column("body")[i].as_py()).told(shards):
-                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([kind]), pa.array([p], pa.int32()), pa.array([body], pa.binary())], ["block", "kind", "shard", "body"])
-
-    many = max(common.partitions(spark), 2 * shards)
-    texts = common.cut_by(rows.mapInArrow(read, f"block long, body binary, ids array<{id_type.simpleString()}>, trained long"), many, "block")
-    blocks = common.cut_by(texts.select("block", "body").mapInArrow(deal, "block long, kind string, shard int, body binary"), many, "shard")
-    of_tokens, of_pairs = (blocks.where(F.col("kind") == k) for k in ("tokens", "pairs"))
+    def dealt(counts: Callable[[Texts, int], Iterator[tuple[int, bytes]]]) -> DataFrame:
+        """Made anew from the stored blocks for each use, so that it lies nowhere but in the shuffle."""
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    for p, body in counts(Texts(batch.column("body")[i].as_py()), shards):
+                        yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([p], pa.int32()), pa.array([body], pa.binary())], ["block", "shard", "body"])
+
+        return texts.select("block", "body").mapInArrow(deal, "block long, shard int, body binary")
+
+    texts = common.cut_by(rows.mapInArrow(read, f"block long, body binary, ids array<{id_type.simpleString()}>, trained long"), max(common.partitions(spark), 2 * shards), "block")
+    of_tokens, of_pairs = dealt(Texts.token_counts), dealt(Texts.pair_counts)
     train_tokens = int(texts.agg(F.sum("trained")).first()[0] or 0)
-    common.free(spark, wait=0.3)  # the shuffle's files go: what follows reads the blocks where they lie, by shard
+    common.free(spark, wait=0.3)  # the shuffle's files go: what follows reads the blocks where they lie
     message = "shard int, part int, body binary"
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -493,7 +502,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
     def finish(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if mine.empty:
             return pd.DataFrame(columns=out_schema.names)
-        x = Texts(mine["body"].iloc[0])
+        x = Texts(mine["body"].iloc[0]).with_pairs()
         per_token = [unpack(y) for y in answers[answers["kind"] == "tokens"].sort_values("shard")["body"]]
         n, customers, tables, *more = (np.concatenate([y[j] for y in per_token]).astype(np.int64) for j in range(1 + 2 * samples))
         per_pair = [unpack(y) for y in answers[answers["kind"] == "pairs"].sort_values("shard")["body"]]
