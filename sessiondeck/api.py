@@ -25,11 +25,12 @@ class Stats:
     events_written: int
 
 
-def scan_session(spark: SparkSession, path: str, head: str | None = None, source: str | None = None, formats: Iterable[str] = (), criteria: sel.Criteria | None = None, tool_lines: int | None = None, no_thinking: bool = False) -> DataFrame:
-    """One log's events with their context, filtered and trimmed. A log needs no header here."""
+def scan_session(spark: SparkSession, path: str, head: str | None = None, source: str | None = None, formats: Iterable[str] = (), criteria: sel.Criteria | None = None, tool_lines: int | None = None, no_thinking: bool = False, block_rows: int | None = None) -> DataFrame:
+    """One log's events with their context, filtered and trimmed. A log needs no header here. block_rows: for a log that one task can't hold."""
     registry = default_registry(list(formats))
     events = read_logs(spark, path, source, head, registry, admitted=False)
-    return sel.trim(sel.filter_events(events, criteria or sel.Criteria()), tool_lines, no_thinking)
+    kept = sel.filter_events(events, criteria or sel.Criteria(), block_rows)
+    return sel.trim(kept, tool_lines, no_thinking) if sel.has_trim(tool_lines, no_thinking) else kept
 
 
 def views(events: DataFrame, prefix: str = "") -> dict[str, DataFrame]:

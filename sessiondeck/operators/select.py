@@ -79,9 +79,9 @@ def event_filter(c: Criteria) -> Column:
     return (kind == "session_start") | F.coalesce(keep, F.lit(False))
 
 
-def filter_events(events: DataFrame, c: Criteria) -> DataFrame:
-    """Skills, then turns, then events: an event that chose a session may itself be filtered out. Events come with their context."""
-    kept = with_context(by_skill(events, c.skills or ()))
+def filter_events(events: DataFrame, c: Criteria, block_rows: int | None = None) -> DataFrame:
+    """Skills, then turns, then events: an event that chose a session may itself be filtered out. Events come with their context. block_rows: as with_context() has it, for sessions of any length."""
+    kept = with_context(by_skill(events, c.skills or ()), block_rows)
     if c.tools:
         kept = joins.with_called_name(kept)  # a result's call may lie outside what is kept, so it is looked up first
     if c.last_turns:

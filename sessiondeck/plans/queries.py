@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import render, scanners
 from ..functions import classify, sentiment, text as tx
 from ..operators import aggregates as agg, context as ctx, joins, select as sel
-from ..sources import tables
+from ..sources import logs, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -426,13 +426,12 @@ def scan_summary(spark, d):
 
 @query("scored_messages", f"""WITH {CX}, reply AS (SELECT sid, turn_no, arg_max(text, seq) AS t FROM cx WHERE turn_no > 0 AND type = 'assistant_message' AND trim(text) <> '' GROUP BY sid, turn_no), s AS (
 SELECT x.sid, x.seq, x.text, coalesce(r.t, '') AS p FROM cx x LEFT JOIN reply r ON x.sid = r.sid AND r.turn_no = x.turn_no - 1 WHERE x.type = 'user_message' AND trim(x.text) <> '')
-SELECT sid, seq, length(text) > 8 AS message_cut, length(p) > 8 AS reply_cut FROM s WHERE least(1.0, length(substr(text, 1, 8)) / 8.0) >= 0.8""")
+SELECT sid, seq, length(text) > 8000 AS message_cut, length(p) > 8000 AS reply_cut FROM s WHERE least(1.0, length(substr(text, 1, 8000)) / 8.0) >= 0.8""")
 def scored_messages(spark, d):
-    def short(message, reply):
-        n = F.least(F.lit(1.0), F.length(message) / 8.0)
-        return F.create_map(F.lit("length"), n)
+    def long(message, reply):
+        return F.create_map(F.lit("length"), F.least(F.lit(1.0), F.length(message) / 8.0))
 
-    return scanners.scored(_ev(spark, d), short, max_chars=8).select("sid", "seq", F.col("truncated.current_message").alias("message_cut"), F.col("truncated.previous_message").alias("reply_cut"))
+    return scanners.scored(_ev(spark, d), long).select("sid", "seq", F.col("truncated.current_message").alias("message_cut"), F.col("truncated.previous_message").alias("reply_cut"))
 
 
 @query("event_windows", """SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2""")
@@ -440,3 +439,66 @@ def event_windows(spark, d):
     from ..streaming import live
 
     return live.event_windows(spark.read.parquet(f"{d}/events.parquet")).select("start", "event_type", "n", "cents")
+
+
+# --- logs: conversations as native logs, parsed again ---------------------------
+
+_CLAUDE = """logged AS (
+  SELECT CAST(conv_id AS VARCHAR) AS sid, 0 AS seq, 'session_start' AS type, CAST(conv_id AS VARCHAR) AS id, NULL AS text, arg_min('m' || CAST(conv_id % 3 AS VARCHAR), turn) FILTER (WHERE role = 'assistant') AS model, '/work/' || CAST(conv_id AS VARCHAR) AS cwd FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT CAST(conv_id AS VARCHAR), row_number() OVER (PARTITION BY conv_id ORDER BY turn), CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' ELSE 'compaction' END, 't' || CAST(turn AS VARCHAR),
+         CASE WHEN role IN ('user', 'assistant') THEN text END, CASE WHEN role = 'assistant' THEN 'm' || CAST(conv_id % 3 AS VARCHAR) END, NULL FROM conversations)"""
+_PI = """messages AS (
+  SELECT CAST(conv_id AS VARCHAR) AS sid, conv_id, turn, CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' ELSE 'compaction' END AS type, 't' || CAST(turn AS VARCHAR) AS id, CASE WHEN role IN ('user', 'assistant') THEN text END AS text FROM conversations WHERE conv_id % 3 <> 0
+), logged AS (
+  SELECT sid, 0 AS seq, 'session_start' AS type, sid AS id, NULL AS text, NULL AS content, CASE WHEN conv_id % 2 = 0 THEN 'm' || CAST(conv_id % 3 AS VARCHAR) END AS model FROM messages GROUP BY sid, conv_id
+  UNION ALL
+  SELECT sid, 1, 'custom_message', 'mc', NULL, 'acme/m' || CAST(conv_id % 3 AS VARCHAR), NULL FROM messages WHERE conv_id % 2 = 0 GROUP BY sid, conv_id
+  UNION ALL
+  SELECT sid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END, type, id, text, NULL, CASE WHEN type = 'assistant_message' THEN 'm' || CAST(conv_id % 3 AS VARCHAR) END FROM messages)"""
+
+
+def _logged(spark, d, kind):
+    return logs.parse_logs(tables.conversation_logs(spark, d, kind), source={"pi": "pi"}.get(kind))  # a pi log without its header isn't known by itself
+
+
+@query("claude_log_events", f"WITH {_CLAUDE} SELECT * FROM logged")
+def claude_log_events(spark, d):
+    """Parsing, with the header's model taken from the first reply."""
+    return _logged(spark, d, "claude").select("sid", "seq", "type", "id", "text", "model", "cwd")
+
+
+@query("pi_log_events", f"WITH {_PI} SELECT * FROM logged")
+def pi_log_events(spark, d):
+    """Parsing, the header's model from a change of it, and no events of logs without a header."""
+    return _logged(spark, d, "pi").select("sid", "seq", "type", "id", "text", "content", "model")
+
+
+@query("log_run_stats", f"WITH {_PI} SELECT count(DISTINCT sid) FILTER (WHERE type = 'session_start') AS sessions_found, count(DISTINCT sid) AS sessions_written, count(*) AS events_written FROM logged")
+def log_run_stats(spark, d):
+    return agg.run_stats(_logged(spark, d, "pi"))
+
+
+@query("log_filter_headers", f"WITH {_PI} SELECT sid, seq, type FROM logged WHERE type IN ('session_start', 'compaction')")
+def log_filter_headers(spark, d):
+    """Headers pass every filter of events."""
+    return sel.filter_events(_logged(spark, d, "pi"), sel.Criteria(types=("compaction",))).select("sid", "seq", "type")
+
+
+@query("log_sessions", f"WITH {_CLAUDE} SELECT sid, id, cwd, model FROM logged WHERE type = 'session_start' AND contains(cwd, '7')")
+def log_sessions(spark, d):
+    """Headers as metadata, by folder."""
+    events = sel.in_folder_and_time(_logged(spark, d, "claude"), cwd="7")
+    return sel.admitted(events).where("type = 'session_start'").select("sid", "id", "cwd", "model")
+
+
+@query("log_context", f"WITH {_PI}, runs AS (SELECT * FROM logged) SELECT sid, seq, CAST(1 AS BIGINT) AS run_no, CAST(sum(CASE WHEN type = 'user_message' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS turn_no, CAST(sum(CASE WHEN type = 'compaction' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS segment, coalesce(last_value(CASE WHEN type IN ('session_start', 'assistant_message') THEN model END IGNORE NULLS) OVER w, '') AS active_model FROM runs WINDOW w AS (PARTITION BY sid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def log_context(spark, d):
+    """Turns, segments and the active model, which a header sets."""
+    return ctx.with_context(_logged(spark, d, "pi")).select("sid", "seq", "run_no", "turn_no", "segment", "active_model")
+
+
+@query("log_last_turns", f"WITH {_PI}, c AS (SELECT *, sum(CASE WHEN type = 'user_message' THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY seq) AS t FROM logged), m AS (SELECT sid, max(t) AS last FROM c GROUP BY sid) SELECT c.sid, c.seq, c.type FROM c JOIN m ON c.sid = m.sid WHERE type = 'session_start' OR (t > 0 AND t > last - 2)")
+def log_last_turns(spark, d):
+    """Headers and the last two turns; what comes before the first turn goes."""
+    return sel.filter_events(_logged(spark, d, "pi"), sel.Criteria(last_turns=2)).select("sid", "seq", "type")

@@ -81,8 +81,12 @@ def read_logs(spark: SparkSession, paths: str | Iterable[str], source: str | Non
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         return spark.createDataFrame([], EVENT_SCHEMA)
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    kind = to_arrow_schema(EVENT_SCHEMA)
+    return parse_logs(spark.read.format("binaryFile").load(paths), source, head, registry, mode, admitted, first_seq)
+
+
+def parse_logs(files: DataFrame, source: str | None = None, head: str | None = None, registry: Registry | None = None, mode: str = "failfast", admitted: bool = True, first_seq: dict[str, int] | None = None) -> DataFrame:
+    """The events of logs that are rows: `path` and `content` (binary)."""
+    registry, kind = registry or default_registry(), to_arrow_schema(EVENT_SCHEMA)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, Any]] = []
@@ -96,4 +100,4 @@ def read_logs(spark: SparkSession, paths: str | Iterable[str], source: str | Non
         if held:
             yield pa.RecordBatch.from_pylist(held, kind)
 
-    return files.mapInArrow(parse, EVENT_SCHEMA)
+    return files.select("path", "content").mapInArrow(parse, EVENT_SCHEMA)

@@ -70,3 +70,34 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "assistant_message", F.lit("")).alias("model"), F.when(kind == "assistant_message", F.lit("")).alias("provider"),
         F.when(kind == "assistant_message", F.array().cast(EVENT_SCHEMA["tool_calls"].dataType)).alias("tool_calls"),
     ))
+
+
+def conversation_logs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Conversations as native logs of two formats, a row for each: path and content. A system's turn is a compaction.
+
+    claude: every record names its folder, and assistants a model by the conversation. pi: a header of its own, which every
+    third conversation lacks; its first record says the model, for every second conversation.
+    """
+    raw = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    sid, conv = F.col("conv_id").cast("string"), F.col("conv_id")
+    own, role = F.concat(F.lit("t"), F.col("turn").cast("string")), F.col("role")
+    part = F.array(F.struct(F.lit("text").alias("type"), "text"))
+    model = F.concat(F.lit("m"), (conv % 3).cast("string"))
+    if kind == "claude":
+        base = [own.alias("uuid"), sid.alias("sessionId"), F.concat(F.lit("/work/"), sid).alias("cwd"), F.lit("2026-01-01T00:00:00Z").alias("timestamp")]
+        user = F.to_json(F.struct(F.lit("user").alias("type"), *base, F.struct(F.lit("user").alias("role"), F.col("text").alias("content")).alias("message")))
+        reply = F.to_json(F.struct(F.lit("assistant").alias("type"), *base, F.struct(model.alias("model"), part.alias("content")).alias("message")))
+        cut = F.to_json(F.struct(F.lit("system").alias("type"), F.lit("compact_boundary").alias("subtype"), *base))
+        head = F.lit(None).cast("string")
+    else:
+        base = [own.alias("id"), F.lit("").alias("timestamp")]
+        user = F.to_json(F.struct(F.lit("message").alias("type"), *base, F.struct(F.lit("user").alias("role"), F.col("text").alias("content")).alias("message")))
+        reply = F.to_json(F.struct(F.lit("message").alias("type"), *base, F.struct(F.lit("assistant").alias("role"), model.alias("model"), part.alias("content")).alias("message")))
+        cut = F.to_json(F.struct(F.lit("compaction").alias("type"), *base, F.lit("so far").alias("summary")))
+        session = F.to_json(F.struct(F.lit("session").alias("type"), sid.alias("id"), F.concat(F.lit("/work/"), sid).alias("cwd")))
+        change = F.to_json(F.struct(F.lit("model_change").alias("type"), F.lit("mc").alias("id"), F.lit("acme").alias("provider"), model.alias("modelId")))
+        head = F.nullif(F.concat_ws("\n", F.when(conv % 3 != 0, session), F.when(conv % 2 == 0, change)), F.lit(""))
+    line = F.when(role == "user", user).when(role == "assistant", reply).otherwise(cut)
+    lines = raw.select("conv_id", "turn", line.alias("line"), head.alias("head")).groupBy("conv_id").agg(F.first("head").alias("head"), F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
+    body = F.concat_ws("\n", "head", F.array_join(F.col("lines.line"), "\n"))
+    return lines.select(F.concat(F.lit("/logs/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), body.cast("binary").alias("content"))

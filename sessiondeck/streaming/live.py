@@ -73,7 +73,7 @@ def gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 min
 
 
 def live_logs(spark: SparkSession, folder: str, pattern: str = "*.jsonl", max_files: int = 1000) -> DataFrame:
-    """A stream of the events of logs as they are put in a folder; each log is read when it appears, up to its last whole record."""
+    """A stream of the events of logs as they are put in a folder; each log is read once, when it appears, up to its last whole record. For logs that grow there is tail.follow_logs."""
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema

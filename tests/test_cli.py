@@ -149,4 +149,6 @@ def test_session_report(spark, tmp_path):
     text = open(reports.write_session_report(spark, path)).read()
     assert "- **Sessions:** 2 (1 main + 1 sub-agents)." in text and "- **Wall-clock:** 10:00 → 10:00 UTC (2026-01-02)." in text
     assert "**Main-thread tool calls** (2)\n`Bash ×1  Skill ×1`\n\nfailed (1):\n```\nBash    ls  ❌ bash-exit-2\n```" in text
+    assert "**What went wrong / went off**\n- `agent-one-lo` implementer **watchdog-killed** mid-run; a retry agent re-did the work.\n- `agent-one-lo` is a **fix wave** — the preceding" in text
+    assert text.count("### Assessment\n<!-- pending -->") == 2 and text.endswith("## Narrative & assessment\n\n### What went well\n<!-- pending -->\n\n### Where the agent went off (root causes)\n<!-- pending -->\n\n### Reviewer verdicts (per task)\n<!-- pending -->\n\n### Recommendations\n<!-- pending -->\n")
     assert "- `agent-one-lo` [fix] Label WATCHDOG — m-1 (2 turns, 1 tools, 1 errors)" in text and "| bash-exit-2 | 2 |\n| **total** | **2** |" in text and "**[INSTRUCTION]** fix it" in text

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from sessiondeck.operators import context as ctx
-from sessiondeck.sources import tables
+from sessiondeck.sources import logs, tables
 from sessiondeck.streaming import live
 
 from . import samples
@@ -42,3 +42,31 @@ def test_live_logs(spark, tmp_path):
     samples.write(tmp_path, "in/p.jsonl", samples.jsonl(samples.PI) + '{"type":"message","id":"cut')
     drain(live.live_logs(spark, str(tmp_path / "in")), "live_logs")
     assert spark.table("live_logs").count() == 12
+
+
+def test_appended_records_arrive_once(spark, tmp_path):
+    """A log is followed while it grows, also from the middle of a record; another one appears meanwhile."""
+    import json
+
+    from sessiondeck.streaming import tail
+
+    lines = [json.dumps(x) for x in samples.CLAUDE]
+    text = "\n".join(lines) + "\n"
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    log = folder / "a.jsonl"
+    cuts = [len("\n".join(lines[:3])) - 20, len("\n".join(lines[:4])) + 1, len(text)]
+    query = tail.follow_logs(spark, str(folder)).writeStream.format("memory").queryName("tailed").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        seen = []
+        for k, cut in enumerate(cuts):
+            log.write_text(text[:cut])
+            if k == 1:
+                (folder / "b.jsonl").write_text("\n".join(json.dumps(x) for x in samples.PI))
+            query.processAllAvailable()
+            seen.append(spark.table("tailed").count())
+    finally:
+        query.stop()
+    got = sorted((r["sid"], r["seq"], r["type"], r["id"]) for r in spark.table("tailed").collect())
+    whole = logs.read_logs(spark, [f"{folder}/a.jsonl", f"{folder}/b.jsonl"])
+    assert got == sorted((r["sid"], r["seq"], r["type"], r["id"]) for r in whole.collect()) and seen[0] < seen[1] < seen[2]
