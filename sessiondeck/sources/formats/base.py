@@ -28,6 +28,8 @@ class Format:
 
     name: str = ""
     layout: Layout
+    #: Whether parse() also takes a text in parts, as an iterator.
+    in_parts: bool = False
     tool_names: dict[str, str] | None = None
 
     def folder(self) -> str:

@@ -178,6 +178,7 @@ class Rollout:
 
 class CodexRollout(Format):
     name = "codex"
+    in_parts = True
     layout = Layout(
         match=lambda name: name.startswith("rollout-") and name.endswith(".jsonl"),
         recursive=True,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any, TextIO
 
 _SPACE = re.compile(r"[ \t\r\n]*")
@@ -86,7 +86,11 @@ def _fault_in(text: str, at: int, wants: set[str]) -> int:
     return at
 
 
-def json_values(text: str, name: str = "input") -> Iterator[Any]:
+def json_values(text: str | Iterable[str], name: str = "input", line: int = 1) -> Iterator[Any]:
+    """The values of a text, or of one that comes in parts, of which no more is held than one value and a part. line: the number of its first one."""
+    if not isinstance(text, str):
+        yield from _of_parts(text, name)
+        return
     at = 0
     while (at := _SPACE.match(text, at).end()) < len(text):
         try:
@@ -98,11 +102,46 @@ def json_values(text: str, name: str = "input") -> Iterator[Any]:
             fault = first_fault(text, at)
             if fault is None:
                 return
-            raise MalformedRecord(f"{name}:{text.count(chr(10), 0, fault) + 1}: malformed JSON record") from None
+            raise MalformedRecord(f"{name}:{text.count(chr(10), 0, fault) + line}: malformed JSON record") from None
         yield value
         at = end
 
 
+def _of_parts(parts: Iterable[str], name: str) -> Iterator[Any]:
+    """A value counts as whole when something follows it. After one that goes on, twice as much is gathered before the next try, so that all tries together stay linear."""
+    held, line, wanted = "", 1, 0
+    for part in parts:
+        held += part
+        if len(held) < wanted:
+            continue
+        at = 0
+        while (at := _SPACE.match(held, at).end()) < len(held):
+            try:
+                value, end = _DECODER.raw_decode(held, at)
+            except ValueError:
+                if first_fault(held, at) is not None:
+                    break  # json_values() below says where
+                wanted = 2 * (len(held) - at)
+                break
+            if end == len(held) or (isinstance(value, (int, float)) and held[end] not in " \t\r\n"):
+                break
+            yield value
+            at, wanted = end, 0
+        line += held.count("\n", 0, at)
+        held = held[at:]
+        if not wanted and held and first_fault(held, 0) is not None and _is_broken(held):
+            break
+    yield from json_values(held, name, line)
+
+
+def _is_broken(text: str) -> bool:
+    try:
+        _DECODER.raw_decode(text)
+    except ValueError:
+        return True
+    return False
+
+
 def first_json_value(text: str) -> Any:
     """The first value, or None if there is none or it isn't JSON."""
     try:

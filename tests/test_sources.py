@@ -194,3 +194,40 @@ def test_read_logs(spark, tmp_path):
     assert read_logs(spark, bad, mode="permissive").count() == 5
     with pytest.raises(ValueError, match="unknown source"):
         read_logs(spark, bad, source="nope")
+
+
+def test_values_of_parts_are_those_of_the_whole():
+    import random
+
+    rng = random.Random(1)
+    texts = [
+        '{"a": [1, 2, {"b": "x\\n"}]}\n\n[1,2]\n"s" 12 3.5e2\ntrue null\n', json.dumps({"k": list(range(30_000))}, indent=1) + "\n{}", '{"a":1}\n{"b": tru', '{"a":1}{"b":2}', "12", "1 2 3", "", "  \n",
+        '{"a":1}\n{"b":2}\n{bad}\n{"c":3}\n', '{"a":1}\n12x\n', '["\\ud83d\\ude00", "é"]\n',
+    ]
+    for text in texts:
+        for size in (1, 7, 5000):
+            if size == 1 and len(text) > 1000:
+                continue
+            cuts = [text[i : i + size + (size > 1) * rng.randint(0, 3)] for i in range(0, len(text), size)] if size == 1 else [text[i : i + size] for i in range(0, len(text), size)]
+
+            def read(x):
+                out = []
+                try:
+                    for v in jv.json_values(x, "f"):
+                        out.append(v)
+                except jv.MalformedRecord as e:
+                    out.append(str(e))
+                return out
+
+            assert read(iter(cuts)) == read(text), (text[:60], size)
+
+
+def test_large_logs_are_read_by_lines(spark, tmp_path):
+    paths = list(samples.all_logs(str(tmp_path)).values())
+    more = samples.write(str(tmp_path), "pretty.jsonl", "\n".join(json.dumps(x, indent=2) for x in samples.PI).replace("p1", "p9") + '\n{"type": "mess')
+    want = read_logs(spark, [*paths, more]).orderBy("sid", "seq").collect()
+    assert read_logs(spark, [*paths, more], large=0).orderBy("sid", "seq").collect() == want
+    bad = samples.write(str(tmp_path), "bad.jsonl", samples.jsonl(samples.PI[:3]) + "{bad}\n" + samples.jsonl(samples.PI[3:]))
+    with pytest.raises(Exception, match="bad.jsonl:4: malformed JSON record"):
+        read_logs(spark, bad, large=0).count()
+    assert read_logs(spark, bad, large=0, mode="permissive").count() == read_logs(spark, bad, mode="permissive").count() > 0
