@@ -253,7 +253,6 @@ def test_cache_gets_each_distinct_miss_once(spark, tmp_path):
     assert token_counts.count_tokens(docs_of(spark, []), cache).count() == 0
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_full_caches_move_no_texts(spark, tmp_path):
     """Few misses are broadcast, many joined by shuffle: equal counts; and what is stored isn't encoded again."""
     rows = [x for i in range(40) for x in (f"text number {i}", "a copy")] + ODD
@@ -269,6 +268,7 @@ def test_full_caches_move_no_texts(spark, tmp_path):
         assert spark.read.parquet(cache).count() == len(stored)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_count_by_their_library(spark, tmp_path, name):
     got = token_counts.count_tokens(docs_of(spark, ["Hello there", ""]), f"file://{tmp_path}/cache", tokenizer=name).orderBy("doc_id").collect()
     assert got[0]["n_tokens"] >= 2 and got[1]["n_tokens"] == 0
@@ -795,7 +795,7 @@ def lm_tokens(text):
 
 @pytest.mark.parametrize("block", [1 << 21, 500])
 def test_base_score_and_counts(spark, documents, texts, block):
-    got = {r["doc_id"]: r for r in pitman_yor.score(documents, pitman_yor.held_out(), block_tokens=block).collect()}
+    got = {r["doc_id"]: r for r in pitman_yor.score(documents, pitman_yor.held_out(), block_tokens=block, burn_in=0, samples=1).collect()}
     counts = collections.Counter()
     for i, x in texts.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
@@ -931,7 +931,7 @@ def test_word_sequences_of_training_are_told(spark):
     mixed = " ".join(f"{x} {y}" for x, y in zip(first, second[7:] + second[:7]))
     docs = docs_of(spark, [*learned, known, mixed])
     for shards, block in ((1, 1 << 21), (7, 200)):
-        got = {r["doc_id"]: r for r in pitman_yor.score(docs, F.col("doc_id") >= len(learned), block_tokens=block, shards=shards).collect()}
+        got = {r["doc_id"]: r for r in pitman_yor.score(docs, F.col("doc_id") >= len(learned), block_tokens=block, shards=shards, burn_in=1, samples=1).collect()}
         known_row, mixed_row = got[len(learned)], got[len(learned) + 1]
         assert known_row["base_score"] == pytest.approx(mixed_row["base_score"])
         assert known_row["score"] > mixed_row["score"] + 20
@@ -946,7 +946,7 @@ def test_word_contexts_sum_to_one(spark, shards):
     learned = ["a b", "a c", "b", "c a b a", "d d d", "a b a b a c"]
     words = ["a", "b", "c", "d", "unseen"]
     docs = docs_of(spark, [*learned, "", *words, *(f"{w} {x}" for w in words for x in words)])
-    got = {r["doc_id"] - len(learned): 10 ** r["score"] for r in pitman_yor.score(docs, F.col("doc_id") >= len(learned), shards=shards).collect()}
+    got = {r["doc_id"] - len(learned): 10 ** r["score"] for r in pitman_yor.score(docs, F.col("doc_id") >= len(learned), shards=shards, burn_in=0, samples=2).collect()}
     n = len(words)
     one = np.array([got[1 + i] for i in range(n)])
     two = np.array([[got[1 + n + i * n + j] for j in range(n)] for i in range(n)])
@@ -957,7 +957,7 @@ def test_word_contexts_sum_to_one(spark, shards):
 def test_scores_do_not_follow_the_shards(spark):
     """Neither how the pairs are dealt nor a hot token changes a score."""
     docs = docs_of(spark, [f"hot{' hot' * 40} w{i % 50} v{i}" for i in range(400)])
-    one, many = ({r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id") % 7 == 2, shards=k).collect()} for k in (2, 16))
+    one, many = ({r["doc_id"]: r["score"] for r in pitman_yor.score(docs, F.col("doc_id") % 7 == 2, shards=k, burn_in=1, samples=1).collect()} for k in (2, 16))
     assert many == pytest.approx(one, rel=1e-12)
 
 
