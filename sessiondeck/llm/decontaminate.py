@@ -41,7 +41,7 @@ from . import common, vec
 
 WINDOW, SIMILARITY = 5, 0.8
 #: Of the bitmap: 32 MB at most.
-MIN_BITS, MAX_BITS = 20, 28
+MIN_BITS, MAX_BITS = 24, 28
 #: The benchmark's windows, and the hashes of texts that go, are broadcast while there are at most so many; else joined by shuffle.
 BROADCAST_WINDOWS, BROADCAST_TEXTS = 200_000, 1_000_000
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs pound pounds ounce ounces oz ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros usd eur gbp meter meters metre metres gram grams kilogram kilograms kilometer kilometers centimeter centimeters degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules newton newtons hz".split()
@@ -205,15 +205,26 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text: str = "t
 
 
 def bitmap(known: DataFrame, n: int) -> np.ndarray:
-    """Bits of the windows' hashes, by their leading bits; combined in Spark, 64 to a row."""
+    """Two bits for each window's hash, by its first bits and by those that follow; combined in Spark, 64 to a row."""
     width = int(np.clip(np.ceil(np.log2(max(n, 1) * 32)), MIN_BITS, MAX_BITS))
-    slot = F.shiftrightunsigned("hash", 64 - width)
-    rows = known.groupBy(F.shiftright(slot, 6).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).toPandas()
+    slots = [F.shiftrightunsigned("hash", 64 - k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in (1, 2)]
+    each = known.select(F.explode(F.array(*slots)).alias("slot"))
+    rows = each.groupBy(F.shiftright("slot", 6).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("bits")).toPandas()
     out = np.zeros(1 << (width - 6), np.uint64)
     out[rows["k"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
+def maybe_known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The places of the hashes whose bits are both set."""
+    width = len(bits).bit_length() - 1 + 6
+    some = np.arange(len(h))
+    for k in (1, 2):
+        slot = h[some] >> np.uint64(64 - k * width) & np.uint64((1 << width) - 1)
+        some = some[(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return some
+
+
 def finds(docs: DataFrame, benchmark: DataFrame, keys: list[str], similarity: float, window: int, text: str, item_id: str, shuffled: bool = False) -> DataFrame | None:
     """keys, text_hash, item_id, item_copies, text_copies, n_matched, similarity and kind (its place) of each item found in each distinct text; None if there are no windows."""
     spark = docs.sparkSession
@@ -226,16 +237,13 @@ def finds(docs: DataFrame, benchmark: DataFrame, keys: list[str], similarity: fl
     schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL("form int, size int, hash long, at int, slots array<long>").fields])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        right = np.uint64(64 - int(np.log2(len(bits))) - 6)
         for batch in batches:
             for part in vec.slices(batch):
                 for f, t in enumerate(tokens(part.column("text"))):
                     begin = vec.bounds(t.owner, part.num_rows)
                     for size in sizes:
                         p, h = windows(t.code, t.kind, t.owner, size)
-                        slot = h >> right
-                        some = np.flatnonzero(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+                        some = maybe_known(sent.value, h)
                         if not len(some):
                             continue
                         p, h = p[some], h[some]
@@ -244,27 +252,28 @@ def finds(docs: DataFrame, benchmark: DataFrame, keys: list[str], similarity: fl
                         yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of)) for c in part.columns[:-1]), *fixed, pa.array(h.view(np.int64)), pa.array(p - begin[of], pa.int32()), pa.array(window_slots(t, p, size), pa.list_(pa.int64()))], schema.names)
 
     who = [*keys, "text_hash"]
-    hits = rows.mapInArrow(each, schema).groupBy(*who, "form", "size", "hash", "at").agg(F.count("*").alias("text_copies"), F.first("slots").alias("slots"))
-    met = hits.join(F.broadcast(known) if n <= BROADCAST_WINDOWS and not shuffled else known, ["form", "size", "hash"])
     pair = [*who, "item_id", "item", "form"]
+    hits = rows.mapInArrow(each, schema).join(F.broadcast(known) if n <= BROADCAST_WINDOWS and not shuffled else known, ["form", "size", "hash"])
+    met = hits.groupBy(*pair, "n_windows", "own", "at").agg(F.count("*").alias("text_copies"), F.first("copies").alias("item_copies"), F.first("slots").alias("slots"), F.first("own_slots").alias("own_slots"))
+    met = common.cut(met)  # what few texts share with the benchmark; the documents aren't read again
     # equal windows of an item count once each; what a text repeats doesn't count again
-    enough = met.groupBy(*pair, "n_windows", "own").agg(F.lit(1).alias("one")).groupBy(*pair, "n_windows").agg(F.count("*").alias("n_matched")).where(F.col("n_matched") >= similarity * F.col("n_windows"))
+    counted = met.groupBy(*pair, "n_windows", "own").agg(F.max("text_copies").alias("text_copies"), F.max("item_copies").alias("item_copies"), F.bool_and(F.col("slots") == F.col("own_slots")).alias("alike"))
+    counted = counted.groupBy(*pair, "n_windows").agg(F.max("item_copies").alias("item_copies"), F.max("text_copies").alias("text_copies"), F.count("*").alias("n_matched"), F.bool_and("alike").alias("alike"))
+    enough = counted.where(F.col("n_matched") >= similarity * F.col("n_windows")).withColumn("similarity", F.col("n_matched") / F.col("n_windows"))
     enough = common.cut(enough)
-    same = F.lit(True)
-    for c in pair:
-        same = same & met[c].eqNullSafe(enough[c])
-    close = met.join(enough, same, "left_semi")
-    judged_schema = T.StructType([*(met.schema[c] for c in pair), *T.StructType.fromDDL("item_copies long, text_copies long, n_matched long, similarity double, kind int").fields])
+    told = [*pair, "item_copies", "text_copies", "n_matched", "similarity"]
+    plain = F.col("alike") | (F.col("form") == BARE)  # where all windows' fillers are the item's, they are so wherever these align
+    judged_schema = T.StructType([*(enough.schema[c] for c in told), T.StructField("kind", T.IntegerType())])
 
     def each_find(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        kind = 0 if first["form"] == BARE else judge_find(pdf["own"].to_numpy(), pdf["at"].to_numpy(), pdf["own_slots"].tolist(), pdf["slots"].tolist(), similarity)
-        if kind is None:
-            return pd.DataFrame(columns=judged_schema.names)
-        n = pdf["own"].nunique()
-        return pd.DataFrame([[*(first[c] for c in pair), int(first["copies"]), int(pdf["text_copies"].max()), n, n / int(first["n_windows"]), kind]], columns=judged_schema.names)
-
-    judged = close.groupBy(*pair).applyInPandas(each_find, judged_schema)
+        kind = judge_find(pdf["own"].to_numpy(), pdf["at"].to_numpy(), pdf["own_slots"].tolist(), pdf["slots"].tolist(), similarity)
+        return pdf[told].head(int(kind is not None)).assign(kind=kind)
+
+    left, same = enough.where(~plain).select(*told), F.lit(True)
+    for c in pair:
+        same = same & met[c].eqNullSafe(left[c])
+    changed = left.join(met.select(*pair, "own", "at", "slots", "own_slots"), same).select(*[left[c] for c in told], "own", "at", "slots", "own_slots")
+    judged = enough.where(plain).select(*told, F.lit(0).alias("kind")).unionByName(changed.groupBy(*pair).applyInPandas(each_find, judged_schema))
     best = F.min_by(F.struct("item_copies", "text_copies", "n_matched", "similarity", "kind"), F.struct("kind", "form"))
     return judged.groupBy(*who, "item_id", "item").agg(best.alias("best")).select(*who, "item_id", "best.*")
 
@@ -285,9 +294,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     found = finds(docs.select(F.col(text).alias(text)), benchmark, [], similarity, window, text, item_id, shuffled)
     if found is None:
         return docs
-    bad = common.cut(found.select(F.col("text_hash").alias("_leak")).distinct())
+    leak = "_leak"
+    while leak in docs.columns:
+        leak += "_"
+    bad = common.cut(found.select(F.col("text_hash").alias(leak)).distinct())
     small = bad.count() <= BROADCAST_TEXTS and not shuffled
-    return docs.join(F.broadcast(bad) if small else bad, F.xxhash64(text) == F.col("_leak"), "left_anti")
+    return docs.join(F.broadcast(bad) if small else bad, F.xxhash64(docs[text]) == bad[leak], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
