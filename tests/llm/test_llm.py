@@ -498,6 +498,22 @@ def test_repeated_rows_and_items_are_reported_each(spark):
     assert decontaminate.clean(docs, bench).count() == 0
 
 
+def test_other_columns_of_any_name(spark):
+    """Names that the operators use for themselves do no harm."""
+    text = "one two cats sit on the old wall near the sea"
+    names = ["_leak", "hash", "form", "size", "at", "slots", "text_hash", "item_id", "similarity", "fp", "row", "root", "least", "fingerprint", "component_id", "a", "b", "block", "kind", "shard", "body", "held_out", "score", "p", "guest", "deal"]
+    docs = spark.createDataFrame([(1, text), (2, f"{text} {text}"), (3, "quite another thing")], "doc_id long, text string").select("*", *[F.lit(7).alias(c) for c in names])
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string").withColumn("hash", F.lit("x"))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 1), (2, 1)}
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [3]
+    near = simhash.near_duplicates(docs)
+    assert near.columns == [c for c in docs.columns if c not in ("text", "fingerprint", "component_id")] + ["fingerprint", "component_id"]
+    assert {r["doc_id"]: (r["component_id"], r["fp"], r["row"]) for r in near.collect()} == {1: (1, 7, 7), 2: ({r["doc_id"]: r["component_id"] for r in near.collect()}[2], 7, 7), 3: (3, 7, 7)}
+    assert pitman_yor.score(docs, F.lit(False), burn_in=0, samples=1).count() == 3
+    assert spotsigs.against_edits(docs).count() == 3
+
+
 def test_leaks_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs_of(spark, ODD), bench).count() == 0
