@@ -502,3 +502,12 @@ def log_context(spark, d):
 def log_last_turns(spark, d):
     """Headers and the last two turns; what comes before the first turn goes."""
     return sel.filter_events(_logged(spark, d, "pi"), sel.Criteria(last_turns=2)).select("sid", "seq", "type")
+
+
+@query("codex_log_events", """WITH r AS (SELECT *, sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
+island AS (SELECT conv_id, role, min(turn) AS turn, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY conv_id, g, role), numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM island)
+SELECT CAST(conv_id AS VARCHAR) AS sid, 0 AS seq, 'session_start' AS type, CAST(conv_id AS VARCHAR) AS id, NULL AS text, 'm' || CAST(conv_id % 3 AS VARCHAR) AS model FROM conversations GROUP BY conv_id
+UNION ALL SELECT CAST(conv_id AS VARCHAR), seq, CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' ELSE 'compaction' END, 'e' || CAST(seq - 1 AS VARCHAR), CASE WHEN role IN ('user', 'assistant') THEN text END, CASE WHEN role = 'assistant' THEN 'm' || CAST(conv_id % 3 AS VARCHAR) END FROM numbered""")
+def codex_log_events(spark, d):
+    """Parsing, with items that follow each other gathered into one message, ids made up, and the model of a record in between."""
+    return _logged(spark, d, "codex").select("sid", "seq", "type", "id", "text", "model")

@@ -73,10 +73,11 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_logs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Conversations as native logs of two formats, a row for each: path and content. A system's turn is a compaction.
+    """Conversations as native logs of three formats, a row for each: path and content. A system's turn is a compaction.
 
     claude: every record names its folder, and assistants a model by the conversation. pi: a header of its own, which every
-    third conversation lacks; its first record says the model, for every second conversation.
+    third conversation lacks; its first record says the model, for every second conversation. codex: a header, and the model in
+    a record after it.
     """
     raw = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     sid, conv = F.col("conv_id").cast("string"), F.col("conv_id")
@@ -89,6 +90,12 @@ def conversation_logs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         reply = F.to_json(F.struct(F.lit("assistant").alias("type"), *base, F.struct(model.alias("model"), part.alias("content")).alias("message")))
         cut = F.to_json(F.struct(F.lit("system").alias("type"), F.lit("compact_boundary").alias("subtype"), *base))
         head = F.lit(None).cast("string")
+    elif kind == "codex":
+        at = F.lit("2026-03-01T00:00:00Z").alias("timestamp")
+        said = lambda who: F.to_json(F.struct(at, F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), F.lit(who).alias("role"), F.array(F.struct("text")).alias("content")).alias("payload")))
+        user, reply, cut = said("user"), said("assistant"), F.to_json(F.struct(F.lit("compacted").alias("type")))
+        meta = F.to_json(F.struct(at, F.lit("session_meta").alias("type"), F.struct(sid.alias("id"), F.concat(F.lit("/work/"), sid).alias("cwd"), F.lit("cli").alias("originator")).alias("payload")))
+        head = F.concat_ws("\n", meta, F.to_json(F.struct(F.lit("turn_context").alias("type"), F.struct(model.alias("model")).alias("payload"))))
     else:
         base = [own.alias("id"), F.lit("").alias("timestamp")]
         user = F.to_json(F.struct(F.lit("message").alias("type"), *base, F.struct(F.lit("user").alias("role"), F.col("text").alias("content")).alias("message")))
