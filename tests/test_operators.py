@@ -207,3 +207,31 @@ def test_views(spark, logs):
 def test_plans_share_one_exchange_and_prune(spark):
     plan = queries.QUERIES["turn_context"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2 and "text" not in plan.split("ReadSchema")[1].split("\n")[0].replace("context", "")
+
+
+def test_filters_by_blocks_are_the_same(spark):
+    events = tables.user_events(spark, SF)
+    for c in (sel.Criteria(last_turns=1), sel.Criteria(tools=("terminal",)), sel.Criteria(error=True)):
+        both = [{(r["sid"], r["seq"]) for r in sel.filter_events(events, c, block_rows=n).select("sid", "seq").collect()} for n in (None, 3)]
+        assert both[0] == both[1] and both[0]
+    assert not sel.has_trim() and sel.has_trim(tool_lines=0) and sel.has_trim(no_thinking=True)
+
+
+def test_a_turns_calls_are_looked_up_without_joins(spark):
+    """One exchange by session serves the context, the look-up and what comes after."""
+    events = tables.user_events(spark, SF).select("sid", "seq", "type", "tool_calls", "tool_call_id", "model")
+    plan = joins.with_call_in_turn(ctx.with_context(events))._jdf.queryExecution().executedPlan().toString()
+    alone = ctx.with_context(events)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == alone.count("Exchange hashpartitioning")
+
+
+def test_calls_without_ids_and_of_other_turns(spark):
+    call = lambda i, name: (i, name, name, "{}")
+    rows = [
+        ("s", 0, "user_message", None, None, "m"), ("s", 1, "assistant_message", [call("c", "first"), call("c", "second"), call(None, "nameless")], None, "m"),
+        ("s", 2, "tool_result", None, "c", None), ("s", 3, "tool_result", None, None, None), ("s", 4, "user_message", None, None, None), ("s", 5, "tool_result", None, "c", None),
+        ("s", 6, "assistant_message", [call("d", "late")], None, "m"), ("s", 7, "tool_result", None, "d", None),
+    ]
+    kind = "sid string, seq long, type string, tool_calls array<struct<id:string,name:string,normalized_name:string,arguments:string>>, tool_call_id string, model string"
+    got = joins.with_call_in_turn(ctx.with_context(spark.createDataFrame(rows, kind))).orderBy("seq").collect()
+    assert [(r["seq"], r["call"] and r["call"]["name"]) for r in got] == [(0, None), (1, None), (2, "first"), (3, None), (4, None), (5, None), (6, None), (7, "late")]
